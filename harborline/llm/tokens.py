@@ -1,15 +1,17 @@
-"""Token ids by the public byte-level BPE vocabulary, as little-endian unsigned 32-bit integers.
+"""Token ids by a public byte-level BPE vocabulary, as little-endian unsigned 32-bit integers.
 
-Merges never cross from one piece to the next, and a piece always begins at a single space between two
-other characters. So a text is encoded as its parts, each with the space before it, and parts that were
-met before come from a bounded cache. A text with two white-space characters in a row at such a place is
-encoded whole.
+Merges never cross from one pre-token to the next, and a pre-token always begins at a single space between
+two other characters. So a text is encoded as its space-separated parts, each with the space before it;
+a part's pre-tokens are encoded once and kept in a bounded cache. A text with two white-space characters
+in a row at such a place is encoded whole.
 """
 from __future__ import annotations
 
 import os
 
-CACHE = 300_000
+import numpy as np
+
+CACHE = 900_000
 END_ID = 2
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
@@ -20,46 +22,91 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
 class Encoder:
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import json
+
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer, models
 
-        self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
+        at = path or vocabulary_path()
+        self.tokenizer = Tokenizer.from_file(at)
         self.tokenizer.encode_special_tokens = True
+        with open(at, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.model = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))  # takes pre-tokens
+        self.lengths = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # bytes of each id
+        for token, i in model["vocab"].items():
+            self.lengths[i] = len(token)
+        self.letters = _byte_letters()
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.parts: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, parts: set[str]) -> None:
-        good = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
-        for p in parts.difference(good):
-            self.parts[p] = None
-        for at in range(0, len(good), 20_000):
-            some = good[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([" " + p for p in some], add_special_tokens=False)):
-                self.parts[p] = _pack(e.ids)
+        split = {}
+        for p in parts:
+            if p.isalpha() and p.isascii():
+                split[p] = [" " + p]
+            elif not p or p[0].isspace() or p[-1].isspace():
+                self.parts[p] = None
+            else:
+                split[p] = self.pattern.findall(" " + p)
+        new = list({x for s in split.values() for x in s if x not in self.pieces})
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            shown = [x.encode("utf-8").decode("latin-1").translate(self.letters) for x in some]
+            done = self.model.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0]
+            ids, ends = np.array(done.ids, "<u4"), np.cumsum([0, *map(len, shown)])
+            cuts = np.searchsorted(np.concatenate(([0], np.cumsum(self.lengths[ids]))), ends)
+            raw, cuts = ids.tobytes(), (cuts * 4).tolist()
+            for x, a, b in zip(some, cuts, cuts[1:]):
+                self.pieces[x] = raw[a:b]
+        piece = self.pieces.__getitem__
+        for p, s in split.items():
+            self.parts[p] = piece(s[0]) if len(s) == 1 else b"".join(map(piece, s))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, without the end id (null: none)."""
         if len(self.parts) > CACHE:
             self.parts.clear()
-        split = [(t or "").split(" ") for t in texts]
-        new = set().union(*(s[1:] for s in split)).difference(self.parts)
+            self.pieces.clear()
+        get, split, found, new = self.parts.get, [], [], set()
+        for t in texts:
+            s = (t or "").split(" ")
+            ids = [*map(get, s)]
+            split.append(s)
+            found.append(ids)
+            if None in ids:
+                new.update(p for p, x in zip(s[1:], ids[1:]) if x is None)
+        new.difference_update(self.parts)
         if new:
             self._learn(new)
-        get, out = self.parts.__getitem__, []
-        for text, s in zip(texts, split):
+        out = []
+        for text, s, ids in zip(texts, split, found):
             first = s[0]
-            try:
-                if len(s) == 1 or not first or first[-1].isspace():
-                    raise TypeError
-                out.append(b"".join((self._whole(first), *map(get, s[1:]))))
-            except TypeError:  # a part that can't stand alone
-                out.append(self._whole(text) if text else b"")
+            if len(s) > 1 and first and not first[-1].isspace():
+                if None in ids:
+                    ids = [*map(get, s)]
+                ids[0] = self._whole(first)
+                if None not in ids:
+                    out.append(b"".join(ids))
+                    continue
+            out.append(self._whole(text) if text else b"")  # a part that can't stand alone
         return out
 
 
 def _pack(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return np.array(ids, "<u4").tobytes()
