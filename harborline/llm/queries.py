@@ -2,6 +2,8 @@
 from harborline.llm import (  # noqa: F401  each registers its query
     best_fit_packing,
     length_histogram,
+    quality_classifier,
+    quality_rules,
     token_files,
 )
 from harborline.llm.registry import ORACLE, QUERIES  # noqa: F401
