@@ -4,6 +4,7 @@ from harborline.llm import (  # noqa: F401  each registers its query
     length_histogram,
     quality_classifier,
     quality_rules,
+    secret_scans,
     token_files,
 )
 from harborline.llm.registry import ORACLE, QUERIES  # noqa: F401
