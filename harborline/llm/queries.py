@@ -5,6 +5,7 @@ from harborline.llm import (  # noqa: F401  each registers its query
     quality_classifier,
     quality_rules,
     secret_scans,
+    substring_dedup,
     token_files,
 )
 from harborline.llm.registry import ORACLE, QUERIES  # noqa: F401
