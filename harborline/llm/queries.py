@@ -1,6 +1,7 @@
 """The subpackage's queries by name, and DuckDB SQL where it can express one."""
 from harborline.llm import (  # noqa: F401  each registers its query
     best_fit_packing,
+    jaccard_join,
     length_histogram,
     quality_classifier,
     quality_rules,
