@@ -7,6 +7,7 @@ from harborline.llm import (  # noqa: F401  each registers its query
     quality_rules,
     secret_scans,
     substring_dedup,
+    template_decontamination,
     token_files,
 )
 from harborline.llm.registry import ORACLE, QUERIES  # noqa: F401
