@@ -2,6 +2,7 @@
 from harborline.llm import (  # noqa: F401  each registers its query
     best_fit_packing,
     jaccard_join,
+    katz_model,
     length_histogram,
     quality_classifier,
     quality_rules,
