@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(raw, pa.binary())], names=["doc_id", "label", "features"])
 
     rows = texts.mapInArrow(build, "doc_id long, label int, features binary").repartition(1).sortWithinPartitions(order, "doc_id", "label")
-    return np.frombuffer(rows.mapInArrow(_fit(settings), "weights binary").first()["weights"], "<f4")
+    row = rows.mapInArrow(_fit(settings), "weights binary").first()
+    return np.frombuffer(row["weights"], "<f4") if row else np.zeros((1 << settings.bits) + 1, "<f4")
 
 
 def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings()) -> DataFrame:

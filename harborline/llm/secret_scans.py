@@ -37,7 +37,7 @@ class Entropy:
 #: Candidates that never count: UUIDs, paths and slugs of plain words, placeholders, embedded images.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?[A-Za-z]*([/_=-]+([A-Za-z][a-z]*|[A-Z]+|[0-9]{1,4}))+/?$",
+    r"^/?[A-Za-z]*([/_=-]+([A-Za-z][a-z]*[0-9]{0,2}|[A-Z]+|[0-9]{1,4}))+/?$",
     r"(?i)example|sample|placeholder|changeme|your[_-]",
     r"^(?:iVBORw0KGgo|R0lGOD|/9j/)",
 )
