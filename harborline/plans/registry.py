@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from harborline.plans import listing  # noqa: E402,F401  registers its queries
+from harborline.plans import audits, listing, rollups, upkeep  # noqa: E402,F401  each registers its queries
