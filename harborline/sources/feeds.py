@@ -24,7 +24,7 @@ def _field(body: Column, name: str) -> Column:
     """The text of a child element, plain or in CDATA, with entities decoded; null if blank."""
     cdata = F.regexp_extract(body, rf"(?is)<{name}>\s*<!\[CDATA\[(.*?)\]\]>\s*</{name}>", 1)
     plain = F.regexp_extract(body, rf"(?is)<{name}>(.*?)</{name}>", 1)
-    return F.nullif(F.trim(decode(F.when(cdata != "", cdata).otherwise(plain))), F.lit(""))
+    return F.nullif(F.trim(decode(F.when(F.trim(plain).startswith("<![CDATA["), cdata).otherwise(plain))), F.lit(""))
 
 
 def rss_items(df: DataFrame, prefix: str, payload: str = "payload") -> DataFrame:
