@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.common import documents, stored
 from harborline.llm.registry import query
-from harborline.llm.tokens import END_ID, Encoder
+from harborline.llm.tokens import END_ID, encoder
 
 CAPACITY = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -84,13 +84,13 @@ def _cut(vocabulary: str | None, capacity: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        encode, part = encoder(vocabulary).encode, TaskContext.get().partitionId()
         end, seen = np.array([END_ID], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for lo in range(0, len(texts), 500):
                 rows = []
-                for doc, x in zip(ids[lo : lo + 500], encoder.encode(texts[lo : lo + 500])):
+                for doc, x in zip(ids[lo : lo + 500], encode(texts[lo : lo + 500])):
                     x += end
                     n = len(x) // 4
                     at, to = 0, (n - 1) % capacity + 1

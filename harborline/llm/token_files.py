@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.common import discard, documents, new_path
 from harborline.llm.registry import query
-from harborline.llm.tokens import END_ID, Encoder
+from harborline.llm.tokens import END_ID, encoder
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: Sizes in bytes: small enough that a page holds a few dozen documents.
@@ -27,13 +27,13 @@ def _encode(vocabulary: str | None):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, at = Encoder(vocabulary), 0
+        encode, at = encoder(vocabulary).encode, 0
         part = TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo in range(0, len(texts), 500):
-                ids = [x + end for x in encoder.encode(texts[lo : lo + 500])]
+                ids = [x + end for x in encode(texts[lo : lo + 500])]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(n)))
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())

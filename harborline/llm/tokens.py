@@ -7,11 +7,12 @@ in a row at such a place is encoded whole.
 """
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
 
-CACHE = 900_000
+CACHE = 600_000
 END_ID = 2
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
@@ -108,5 +109,11 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of this process: later tasks of a worker use what it has cached."""
+    return Encoder(path)
+
+
 def _pack(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
