@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harborline.llm.common import documents
+from harborline.llm.common import documents, stored
 from harborline.llm.registry import query
-from harborline.llm.tokens import Encoder
+from harborline.llm.tokens import encoder
 
 #: Lengths of a block that share one running total.
 BLOCK = 256
@@ -16,11 +16,11 @@ BLOCK = 256
 
 def _count(vocabulary: str | None):
     def run(batches):
-        encoder, seen = Encoder(vocabulary), {}
+        encode, seen = encoder(vocabulary).encode, {}
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo in range(0, len(texts), 500):
-                for x in encoder.encode(texts[lo : lo + 500]):
+                for x in encode(texts[lo : lo + 500]):
                     seen[len(x) // 4] = seen.get(len(x) // 4, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(seen.keys(), np.int64, len(seen))), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], names=["length", "docs"])
 
@@ -33,7 +33,8 @@ def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     Each task counts its own documents, so no more than a row per length and task is shuffled. Equal
     documents count as often as they occur; an empty table gives no rows; other columns are ignored.
     """
-    return docs.select("text").mapInArrow(_count(vocabulary), "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    counts = docs.select("text").mapInArrow(_count(vocabulary), "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    return stored(counts, "histogram")
 
 
 def context_limits(histogram: DataFrame) -> DataFrame:
