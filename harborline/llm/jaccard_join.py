@@ -9,9 +9,11 @@ The distance is a metric, and the join works in it from coarse to fine:
 * Regions are Voronoi cells of one-shingle pivots: the nearest to a set, with ties in one fixed order, is
   its first shingle. By the triangle inequality a set within the radius of x has its own first common
   shingle among the first |x| - ceil(0.8 |x|) + 1 of x, so x is copied into just these cells, which
-  makes the join exact. Shingles that very many documents share come last in the order. Cells that hold a
-  single component have nothing left to find and are dropped; the others join across components, within
-  windows of size and position, and what passes is measured exactly.
+  makes the join exact. Cells that hold a single component have nothing left to find and are dropped.
+  Crowded cells are no place to compare pairs: their shingles go last in the order, and the documents
+  that met there are dealt out again. The other cells join across components, within windows of size and
+  position. A pair that has too few cells in common for what lies beyond them is dropped; the rest are
+  measured exactly.
 """
 from __future__ import annotations
 
@@ -27,11 +29,13 @@ from harborline.llm.registry import query
 
 SHINGLE = 5
 #: Two sets link if 9 * common >= 4 * (size + size), which is a similarity of 0.8.
-PIVOT_HASHES = 4
-#: At most so many frequent shingles go last in the order, which every task holds (8 bytes each).
+PIVOT_HASHES = 6
+#: Hashes that must name the same pivot.
+AGREE = 3
+#: Shingles of more documents than this go last in the order, ...
+CROWD = 24
+#: ... and at most so many of them, the most frequent, which every task holds (8 bytes each).
 FREQUENT = 1_000_000
-#: Documents of one batch that must share a shingle for it to be counted as frequent.
-OFTEN = 4
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -78,33 +82,29 @@ def _signatures(shingle: int):
     return run
 
 
-def _often(shingle: int):
-    def run(batches):
-        for b in batches:
-            v, _ = shingle_sets(b.column("text"), shingle)
-            u, c = np.unique(v, return_counts=True)
-            u, c = u[c >= OFTEN], c[c >= OFTEN]
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["shingle", "n"])
-
-    return run
+CELLS = "cell long, node long, component long, n int, place int, last long, late boolean"
 
 
-def _cells(shingle: int, last):
+def _cells(shingle: int, frequent_hashes, times: int):
     def run(batches):
-        frequent = np.frombuffer(last.value, "<u8")
+        frequent = np.frombuffer(frequent_hashes.value, "<u8")
         for b in batches:
             v, at = shingle_sets(b.column("text"), shingle)
             size = np.diff(at)
             text = np.repeat(np.arange(len(size)), size)
+            late = np.zeros(len(v), bool)
             if len(frequent):
-                i = np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)
-                o = np.lexsort((v, frequent[i] == v, text))
-                v = v[o]
+                late = frequent[np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)] == v
+                o = np.lexsort((v, late, text))
+                v, late = v[o], late[o]
             place = np.arange(len(v)) - at[text]
-            keep = place < (size - (4 * size + 4) // 5 + 1)[text]
-            v, text, place = v[keep], text[keep], place[keep]
+            reach = np.minimum(size, times * (size - (4 * size + 4) // 5 + 1))
+            keep = place < reach[text]
+            rank = (v >> U(2)).astype(np.int64) + (late.astype(np.int64) << 62)
+            last = rank[np.minimum(at[:-1] + reach - 1, max(len(v) - 1, 0))] if len(v) else np.zeros(len(size), np.int64)
+            v, text, place, late = v[keep], text[keep], place[keep], late[keep]
             rows = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), b.column("doc_id").take(rows), b.column("component").take(rows), pa.array(size[text].astype(np.int32)), pa.array(place.astype(np.int32))], names=["cell", "node", "component", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), b.column("doc_id").take(rows), b.column("component").take(rows), pa.array(size[text].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(last[text]), pa.array(late)], names=[c.split()[0] for c in CELLS.split(", ")])
 
     return run
 
@@ -140,6 +140,69 @@ def _linked(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     return links
 
 
+def _candidates(source: DataFrame, labelled: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): every pair of nodes of different components that may be within the radius.
+
+    A round copies its nodes into their cells. Cells of more than ``CROWD`` nodes join nothing but go last in
+    the next round's order, and only nodes that had one among their first cells take part in that. This
+    loses no pair: if one of the two had no crowded cell, their first common cell isn't crowded and joins
+    them in this round; otherwise both are in the next.
+    """
+    spark = source.sparkSession
+    crowded, active, times, found = np.zeros(0, np.uint64), labelled, 1, []
+    while True:
+        sent = spark.sparkContext.broadcast(crowded.tobytes())
+        cells = stored(source.join(active, "doc_id").mapInArrow(_cells(shingle, sent, times), CELLS), "cells")
+        counts = cells.groupBy("cell").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("late").alias("seen"))
+        mixed = stored(counts.filter("low < high").select("cell", "count", "seen"), "mixed")
+        rows = stored(cells.join(mixed, "cell"), "open-cells")
+        discard(cells)
+        new = mixed.filter(~F.col("seen") & (F.col("count") > CROWD))
+        room = max(0, FREQUENT - len(crowded))
+        limit = new.groupBy("count").agg(F.count("*").alias("cells")).orderBy(F.desc("count")).limit(10_000).collect()
+        least, total = None, 0
+        for r in limit:  # the lowest count from which on all fit
+            total += r["cells"]
+            if total > room:
+                break
+            least = r["count"]
+        if least is None:
+            return _unite([*found, _joined(rows, times)])
+        crowd = ~F.col("seen") & (F.col("count") >= least)
+        more = mixed.filter(crowd).select("cell").toPandas()["cell"].to_numpy(np.int64)  # at most FREQUENT
+        crowded = np.sort(np.concatenate((crowded, more.view(np.uint64))))
+        among_first = F.col("place") <= F.col("n") - F.ceil(F.col("n") * 4 / 5)
+        waiting = stored(rows.filter(crowd & among_first).select(F.col("node").alias("doc_id")).distinct(), "waiting")
+        found.append(_joined(rows, times, ~crowd))
+        active, times = labelled.join(waiting, "doc_id", "left_semi"), 2
+
+
+def _unite(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
+
+
+def _joined(rows: DataFrame, times: int, where=None) -> DataFrame:
+    """Pairs that meet in a cell, within windows of size and position, and have enough cells in common for
+    what lies beyond them."""
+    cells = rows if where is None else stored(rows.filter(where), "quiet-cells")
+    a, b = cells.alias("a"), cells.alias("b")
+    least = F.least("a.n", "b.n")
+    common = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (5 * least >= 4 * F.greatest("a.n", "b.n")) & (9 * F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= 4 * (F.col("a.n") + F.col("b.n")))
+    met = stored(a.join(b, common).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "met")
+    lists = stored(rows.groupBy("node", "n", "last").agg(F.collect_list("cell").alias("cells")), "cell-lists")  # bounded by the document
+    x, y = (lists.select(F.col("node").alias(k), F.struct("n", "last", "cells").alias(f"of_{k}")) for k in ("a", "b"))
+    both = stored(met.join(x, "a"), "half-candidates").join(y, "b")
+    beyond = lambda d: d["n"] - F.least(d["n"], times * (d["n"] - F.ceil(d["n"] * 4 / 5) + 1))  # noqa: E731  shingles after the cells
+    after = F.when(F.col("of_a.last") < F.col("of_b.last"), beyond(F.col("of_a"))).when(F.col("of_a.last") > F.col("of_b.last"), beyond(F.col("of_b"))).otherwise(F.greatest(beyond(F.col("of_a")), beyond(F.col("of_b"))))
+    enough = 9 * (F.size(F.array_intersect("of_a.cells", "of_b.cells")) + after) >= 4 * (F.col("of_a.n") + F.col("of_b.n"))
+    pairs = stored(both.filter(enough).select("a", "b"), "pairs")
+    discard(rows, lists)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -153,25 +216,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     met = nodes.select("node", "n", F.posexplode("least").alias("k", "v"))
     pivots = met.groupBy("k", "v").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").drop("top")
-    stars = met.join(stored(pivots, "pivots"), ["k", "v"]).filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = met.join(stored(pivots, "pivots"), ["k", "v"]).filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).groupBy("a", "b").agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE).drop("agree")
     near = _linked(source, stored(stars, "stars"), shingle)
     grouped = stored(components(near), "groups")
 
-    counts = source.mapInArrow(_often(shingle), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    frequent = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    last = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.view(np.uint64)).tobytes())
     labelled = stored(nodes.select("node").distinct().join(grouped, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("component")), "labelled")
-    cells = stored(source.join(labelled, "doc_id").mapInArrow(_cells(shingle, last), "cell long, node long, component long, n int, place int"), "cells")
-    mixed = stored(cells.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cell"), "mixed")
-    open_cells = stored(cells.join(mixed, "cell"), "open-cells")
-    discard(cells, mixed)
-
-    a, b = open_cells.alias("a"), open_cells.alias("b")
-    least = F.least("a.n", "b.n")
-    common = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (5 * least >= 4 * F.greatest("a.n", "b.n")) & (9 * F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= 4 * (F.col("a.n") + F.col("b.n")))
-    rest = a.join(b, common).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    far = _linked(source, stored(rest, "candidates"), shingle)
-    group = stored(components(near.union(far)), "components")
+    far = _linked(source, stored(_candidates(source, labelled, shingle), "candidates"), shingle)
+    label = lambda c: labelled.select(F.col("doc_id").alias(c), F.col("component").alias(f"of_{c}"))
+    between = far.join(label("a"), "a").join(label("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    joined = components(stored(between, "between")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    group = labelled.join(stored(joined, "components"), "component", "left").select(F.col("doc_id").alias("node"), F.coalesce("whole", "component").alias("component"))
 
     same = rows.join(nodes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"], "left")
     return same.join(group, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
