@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-CACHE = 600_000
+CACHE = 200_000
 END_ID = 2
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
@@ -83,6 +83,7 @@ class Encoder:
         """The ids of each text, without the end id (null: none)."""
         if len(self.parts) > CACHE:
             self.parts.clear()
+        if len(self.pieces) > CACHE // 2:
             self.pieces.clear()
         get, split, found, new = self.parts.get, [], [], set()
         for t in texts:
