@@ -3,7 +3,8 @@
 Merges never cross from one pre-token to the next, and a pre-token always begins at a single space between
 two other characters. So a text is encoded as its space-separated parts, each with the space before it;
 a part's pre-tokens are encoded once and kept in a bounded cache. A text with two white-space characters
-in a row at such a place is encoded whole.
+in a row at such a place is encoded whole, and so is one that holds the content of an added token, which
+the library's plain call cuts out before anything else.
 """
 from __future__ import annotations
 
@@ -30,7 +31,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, path: str | None = None):
+    """``added``: the content of an added token in a text becomes that token's id, as in the library's plain
+    call; else it is text like any other."""
+
+    def __init__(self, path: str | None = None, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -40,9 +44,10 @@ class Encoder:
 
         at = path or vocabulary_path()
         self.tokenizer = Tokenizer.from_file(at)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         with open(at, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, self.added = file["model"], [t["content"] for t in file.get("added_tokens", ()) if added]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.model = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))  # takes pre-tokens
         self.lengths = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # bytes of each id
@@ -87,7 +92,7 @@ class Encoder:
             self.pieces.clear()
         get, split, found, new = self.parts.get, [], [], set()
         for t in texts:
-            s = (t or "").split(" ")
+            s = [] if t and any(a in t for a in self.added) else (t or "").split(" ")
             ids = [*map(get, s)]
             split.append(s)
             found.append(ids)
@@ -98,11 +103,10 @@ class Encoder:
             self._learn(new)
         out = []
         for text, s, ids in zip(texts, split, found):
-            first = s[0]
-            if len(s) > 1 and first and not first[-1].isspace():
+            if len(s) > 1 and s[0] and not s[0][-1].isspace():
                 if None in ids:
                     ids = [*map(get, s)]
-                ids[0] = self._whole(first)
+                ids[0] = self._whole(s[0])
                 if None not in ids:
                     out.append(b"".join(ids))
                     continue
@@ -113,7 +117,7 @@ class Encoder:
 @functools.lru_cache(maxsize=2)
 def encoder(path: str | None = None) -> Encoder:
     """The encoder of this process: later tasks of a worker use what it has cached."""
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 def _pack(ids: list[int]) -> bytes:
