@@ -312,4 +312,4 @@ def _ask_words(parts: int):
 
 @query("op10_katz_backoff")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(documents(spark, sf_dir), crc_of_id("doc_id") % 10 == 0)
+    return katz_scores(documents(spark, sf_dir), crc_of_id("doc_id") % 10 == 0, Settings(least=1))
