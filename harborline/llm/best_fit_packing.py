@@ -85,23 +85,26 @@ def _cut(vocabulary: str | None, capacity: int):
         from pyspark import TaskContext
 
         encode, part = encoder(vocabulary).encode, TaskContext.get().partitionId()
-        end, seen = np.array([END_ID], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
+        seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo in range(0, len(texts), 500):
-                rows = []
-                for doc, x in zip(ids[lo : lo + 500], encode(texts[lo : lo + 500])):
-                    x += end
-                    n = len(x) // 4
-                    at, to = 0, (n - 1) % capacity + 1
-                    piece = 0
-                    while at < n:
-                        rows.append((doc, piece, at, to - at, zlib.crc32(x[4 * at : 4 * to]), part, int(seen[to - at])))
-                        seen[to - at] += 1
-                        piece, at, to = piece + 1, to, to + capacity
-                columns = list(zip(*rows))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
+            ids, offs = encode(b.column("text"), END_ID)
+            n = np.diff(offs)
+            times = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), times)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+            end = ((n - 1) % capacity + 1)[doc] + piece * capacity
+            length = np.where(piece == 0, end, capacity)
+            start = end - length
+            order = np.argsort(length, kind="stable")
+            many = np.bincount(length, minlength=capacity + 1)
+            place = np.empty(len(doc), np.int64)
+            place[order] = np.arange(len(doc)) - (np.cumsum(many) - many)[length[order]]
+            place += seen[length]
+            seen += many
+            at = (offs[doc] + start).tolist()
+            crc = [zlib.crc32(ids[x : x + k]) for x, k in zip(at, length.tolist())]
+            values = (piece.astype(np.int32), start, length, np.array(crc, np.int64), np.full(len(doc), part, np.int32), place)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), *map(pa.array, values)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return run
 

@@ -23,9 +23,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary
+    one, which only a local master's tasks can read."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='harborline-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -71,5 +74,23 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def binary_column(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
+def input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the bytes of ``df``; 0 where it knows nothing."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int):
+    """``batch`` in runs of rows with about ``limit`` bytes of text in ``column``; a longer text stays whole."""
+    ends, at = flat_text(batch.column(column))[1], 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or if ``df`` has such a column, that with underscores."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

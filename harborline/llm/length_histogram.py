@@ -16,13 +16,11 @@ BLOCK = 256
 
 def _count(vocabulary: str | None):
     def run(batches):
-        encode, seen = encoder(vocabulary).encode, {}
+        lengths, seen = encoder(vocabulary).lengths, {}
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo in range(0, len(texts), 500):
-                for x in encode(texts[lo : lo + 500]):
-                    seen[len(x) // 4] = seen.get(len(x) // 4, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(seen.keys(), np.int64, len(seen))), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], names=["length", "docs"])
+            for length, n in zip(*(x.tolist() for x in np.unique(lengths(b.column("text")), return_counts=True))):
+                seen[length] = seen.get(length, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["length", "docs"])
 
     return run
 
@@ -70,6 +68,25 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """(context_limit, docs_over, tokens_within, truncated_total) for any given limits, in one pass over the
+    histogram; an empty histogram gives zeros."""
+    n, docs = F.col("length"), F.col("docs")
+
+    def answer(k: int) -> F.Column:
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+        return F.struct(F.lit(k).cast("long").alias("context_limit"), total(F.when(n > k, docs)).alias("docs_over"), total(F.when(n <= k, n * docs)).alias("tokens_within"), total(F.least(n, F.lit(k)) * docs).alias("truncated_total"))
+
+    return histogram.agg(F.array(*map(answer, limits)).alias("a")).select(F.inline("a"))
+
+
+def quantiles(limits: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, length): of the table of ``context_limits``, the least length that at least such a share of the
+    documents doesn't exceed (none without documents)."""
+    least = lambda q: F.struct(F.lit(q).cast("double").alias("share"), F.min(F.when(F.col("quantile") >= q, F.col("context_limit"))).alias("length"))
+    return limits.agg(F.array(*map(least, shares)).alias("a")).select(F.inline("a"))
+
+
 @query("op6_length_histogram")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(length_histogram(documents(spark, sf_dir)))

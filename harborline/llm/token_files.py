@@ -14,13 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm.common import discard, documents, new_path
+from harborline.llm.common import documents, input_bytes, new_path
 from harborline.llm.registry import query
 from harborline.llm.tokens import END_ID, encoder
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: Sizes in bytes: small enough that a page holds a few dozen documents.
 ROW_GROUP, PAGE, DICTIONARY_PAGE = 16 << 20, 256 << 10, 1 << 20
+#: Rows after which the writer looks at the size of a page or row group for the first time.
+CHECK = 16
+#: Bytes of input for each file.
+FILE = 128 << 20
 
 
 def _encode(vocabulary: str | None):
@@ -29,19 +33,11 @@ def _encode(vocabulary: str | None):
 
         encode, at = encoder(vocabulary).encode, 0
         part = TaskContext.get().partitionId()
-        end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo in range(0, len(texts), 500):
-                ids = [x + end for x in encode(texts[lo : lo + 500])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                offsets = np.concatenate(([0], np.cumsum(n)))
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)],
-                    names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],
-                )
-                at += int(offsets[-1])
+            ids, offs = encode(b.column("text"), END_ID)
+            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(b), part, np.int32)), pa.array(at + offs[:-1]), pa.array(np.diff(offs)), lists], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            at += len(ids)
 
     return run
 
@@ -49,15 +45,17 @@ def _encode(vocabulary: str | None):
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, partitions: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text; other columns are left out) and write the ids below ``path``.
 
-    A null or empty text has the end id alone. Rows with a null doc_id come first; equal ids stay in an
-    arbitrary order beside each other. An empty table writes files without rows. Texts of any length are
-    encoded whole.
+    There is a file for each ``FILE`` bytes of the input, or ``partitions`` files, at least one a shuffle
+    partition. A null or empty text has the end id alone. Rows with a null doc_id come first; rows with one
+    id lie beside each other in the order of a hash of their texts, so many of them can share several files.
+    An empty table writes files without rows. Texts of any length are encoded whole.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    source = docs.select("doc_id", "text")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(source) // FILE))
+    ordered = source.withColumn("__tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").drop("__tie")
     writer = ordered.mapInArrow(_encode(vocabulary), SCHEMA).write
-    for key, value in {"parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.dictionary.page.size": DICTIONARY_PAGE, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "compression": "zstd"}.items():
+    for key, value in {"parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.dictionary.page.size": DICTIONARY_PAGE, "parquet.page.size.row.check.min": CHECK, "parquet.block.size.row.check.min": CHECK, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "compression": "zstd"}.items():
         writer = writer.option(key, str(value))
     writer.parquet(path)
 

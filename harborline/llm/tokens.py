@@ -1,21 +1,35 @@
-"""Token ids by a public byte-level BPE vocabulary, as little-endian unsigned 32-bit integers.
+"""Token ids by a public byte-level vocabulary of the tokenizers library.
 
-Merges never cross from one pre-token to the next, and a pre-token always begins at a single space between
-two other characters. So a text is encoded as its space-separated parts, each with the space before it;
-a part's pre-tokens are encoded once and kept in a bounded cache. A text with two white-space characters
-in a row at such a place is encoded whole, and so is one that holds the content of an added token, which
-the library's plain call cuts out before anything else.
+Every id comes from the library's plain call on pieces of the texts. A text may be cut before an ASCII
+white-space character that follows a character that is none: no token reaches over such a place, and none
+before it depends on what comes after. So a batch is cut there, Arrow's dictionary encoding leaves each
+different piece once, the library encodes those that this process hasn't met lately, and the ids are taken
+back to the places of the pieces.
 """
 from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE = 200_000
+from harborline.llm.common import flat_text
+
+#: Beyond so many pieces the cache keeps those of the batch at hand.
+CACHE = 1_000_000
+#: Bytes; longer pieces are not kept.
+LONG = 64
 END_ID = 2
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MAYBE_SPACE = _ASCII_SPACE.copy()
+_MAYBE_SPACE[0x1C:0x20] = True
+#: White space beyond ASCII, in UTF-8.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -24,101 +38,102 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+def _pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pieces of all texts, dictionary encoded, and the first piece of each text."""
+    n = len(raw)
+    space = _MAYBE_SPACE[raw]
+    if (raw >= 0xC2).any():
+        for m in _WIDE_SPACE.finditer(raw):
+            space[m.start() : m.end()] = True
+    cut = np.zeros(n + 1, bool)
+    cut[1:n] = _ASCII_SPACE[raw[1:]] & ~space[:-1]
+    cut[offs] = True
+    starts = np.flatnonzero(cut[:n])
+    edges = np.concatenate((starts, [n])).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw))])
+    return pieces.dictionary_encode(), np.searchsorted(starts, offs)
 
 
 class Encoder:
-    """``added``: the content of an added token in a text becomes that token's id, as in the library's plain
-    call; else it is text like any other."""
+    """``keys`` and ``ids``: the pieces that this process has met lately and their ids, in Arrow arrays."""
 
-    def __init__(self, path: str | None = None, added: bool = False):
+    def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer, models
-
-        at = path or vocabulary_path()
-        self.tokenizer = Tokenizer.from_file(at)
-        self.tokenizer.encode_special_tokens = not added
-        with open(at, encoding="utf-8") as f:
-            file = json.load(f)
-        model, self.added = file["model"], [t["content"] for t in file.get("added_tokens", ()) if added]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.model = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))  # takes pre-tokens
-        self.lengths = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # bytes of each id
-        for token, i in model["vocab"].items():
-            self.lengths[i] = len(token)
-        self.letters = _byte_letters()
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.parts: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _learn(self, parts: set[str]) -> None:
-        split = {}
-        for p in parts:
-            if p.isalpha() and p.isascii():
-                split[p] = [" " + p]
-            elif not p or p[0].isspace() or p[-1].isspace():
-                self.parts[p] = None
-            else:
-                split[p] = self.pattern.findall(" " + p)
-        new = list({x for s in split.values() for x in s if x not in self.pieces})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            shown = [x.encode("utf-8").decode("latin-1").translate(self.letters) for x in some]
-            done = self.model.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0]
-            ids, ends = np.array(done.ids, "<u4"), np.cumsum([0, *map(len, shown)])
-            cuts = np.searchsorted(np.concatenate(([0], np.cumsum(self.lengths[ids]))), ends)
-            raw, cuts = ids.tobytes(), (cuts * 4).tolist()
-            for x, a, b in zip(some, cuts, cuts[1:]):
-                self.pieces[x] = raw[a:b]
-        piece = self.pieces.__getitem__
-        for p, s in split.items():
-            self.parts[p] = piece(s[0]) if len(s) == 1 else b"".join(map(piece, s))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, without the end id (null: none)."""
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        if len(self.pieces) > CACHE // 2:
-            self.pieces.clear()
-        get, split, found, new = self.parts.get, [], [], set()
-        for t in texts:
-            s = [] if t and any(a in t for a in self.added) else (t or "").split(" ")
-            ids = [*map(get, s)]
-            split.append(s)
-            found.append(ids)
-            if None in ids:
-                new.update(p for p, x in zip(s[1:], ids[1:]) if x is None)
-        new.difference_update(self.parts)
-        if new:
-            self._learn(new)
-        out = []
-        for text, s, ids in zip(texts, split, found):
-            if len(s) > 1 and s[0] and not s[0][-1].isspace():
-                if None in ids:
-                    ids = [*map(get, s)]
-                ids[0] = self._whole(s[0])
-                if None not in ids:
-                    out.append(b"".join(ids))
-                    continue
-            out.append(self._whole(text) if text else b"")  # a part that can't stand alone
-        return out
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a letter for each byte
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        self.keys, self.ids = pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))
+
+    def _call(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[bytes]) -> pa.ListArray:
+        """The ids of different pieces. Those that begin with white space and end with none are encoded end to
+        end in one call, and cut apart by the bytes of their tokens."""
+        out: list = [None] * len(pieces)
+        joins = [_ASCII_SPACE[p[0]] and not _MAYBE_SPACE[p[-1]] and (p[-1] < 128 or not _WIDE_SPACE.search(p)) for p in pieces]
+        chain, alone = [i for i, j in enumerate(joins) if j], [i for i, j in enumerate(joins) if not j]
+        for at in range(0, len(chain), 10_000):
+            some = chain[at : at + 10_000]
+            (ids,) = self._call([b"".join(pieces[i] for i in some).decode()])
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(pieces[i]) for i in some])) + 1
+            begin = 0
+            for i, end in zip(some, ends.tolist()):
+                out[i] = ids[begin:end]
+                begin = end
+        for at in range(0, len(alone), 1000):
+            some = alone[at : at + 1000]
+            for i, ids in zip(some, self._call([pieces[i].decode() for i in some])):
+                out[i] = ids
+        n = np.fromiter(map(len, out), np.int64, len(out))
+        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat, pa.int32()))
+
+    def _look_up(self, pieces: pa.Array) -> pa.ListArray:
+        at = pc.index_in(pieces, value_set=self.keys)
+        gaps = pc.is_null(at)
+        new = pieces.filter(gaps)
+        keys, ids = self.keys, self.ids
+        if len(new):
+            made = self._encode(new.to_pylist())
+            place = np.asarray(at.fill_null(0)).astype(np.int64)
+            place[np.asarray(gaps)] = len(keys) + np.arange(len(new))
+            keys, ids, at = pa.concat_arrays([keys, new]), pa.concat_arrays([ids, made]), pa.array(place)
+        found = ids.take(at)
+        if len(keys) > CACHE:  # what is in use now stays
+            keys, ids = pieces, found
+        if len(new):
+            keep = pc.less_equal(pc.binary_length(keys), LONG)
+            self.keys, self.ids = (keys, ids) if pc.all(keep).as_py() else (keys.filter(keep), ids.filter(keep))
+        return found
+
+    def _parts(self, column: pa.Array) -> tuple[pa.Array, pa.ListArray, np.ndarray]:
+        pieces, first = _pieces(*flat_text(column))
+        return pieces.indices, self._look_up(pieces.dictionary), first
+
+    def lengths(self, column: pa.Array) -> np.ndarray:
+        """How many tokens each text has (null: none)."""
+        at, ids, first = self._parts(column)
+        n = np.diff(np.asarray(ids.offsets))[np.asarray(at)]
+        return np.diff(np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[first])
+
+    def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end (null: none), each followed by ``end`` if given, and where each
+        text's begin."""
+        at, ids, first = self._parts(column)
+        taken = ids.take(at)
+        flat, offs = np.asarray(taken.flatten()), np.asarray(taken.offsets).astype(np.int64)[first]
+        if end is not None:
+            flat = np.insert(flat, offs[1:], end)
+            offs = offs + np.arange(len(offs))
+        return flat, offs
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str | None = None) -> Encoder:
     """The encoder of this process: later tasks of a worker use what it has cached."""
-    return Encoder(path, added=True)
-
-
-def _pack(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return Encoder(path)

@@ -1,10 +1,14 @@
+import glob
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from harborline.llm import best_fit_packing, katz_model, length_histogram, token_files
+from harborline.llm import best_fit_packing, katz_model, length_histogram, token_files, tokens
 from harborline.llm.common import new_path
 from harborline.llm.tokens import END_ID, Encoder, vocabulary_path
 from tests.llm.conftest import words
@@ -12,13 +16,58 @@ from tests.llm.conftest import words
 
 def ids_of(texts):
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, END_ID], "<u4") for x in texts]
 
 
 def test_encoder_equals_the_library(rows):
-    texts = [r[1] for r in rows] + [" ", "  a b", "a  b", "don't it's 123abc ,x. <|endoftext|> x", "x y　z", "tab\t b\n\n c", "emoji 😀 👩‍👧 a", "é" * 50 + " 's", "\x1c a \x85 b"]
-    assert [x + np.array([END_ID], "<u4").tobytes() for x in Encoder().encode(texts)] == [x.tobytes() for x in ids_of(texts)]
+    """White space of all kinds, in and beside words, and the added token; met anew and from the cache."""
+    r = random.Random(1)
+    letters = [*"ab '1.x\n\t<|>", "  ", "é", "\u3000", "\x85", "\xa0", "\x1c", "<|endoftext|>"]
+    texts = [x[1] for x in rows] + [" ", "  a b", "a  b", "don't it's 123abc ,x. <|endoftext|> x", "x y\u3000z", "x\u3000  y", "a \u3000b", "tab\t b\n\n c", "emoji 😀 👩‍👧 a", "é" * 50 + " 's", "\x1c a \x85 b"]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    want, coder = [x.tolist() for x in ids_of(texts)], Encoder()
+    for _ in range(2):
+        flat, at = coder.encode(pa.array(texts, pa.string()), END_ID)
+        assert [flat[i:j].tolist() for i, j in zip(at, at[1:])] == want
+        assert (coder.lengths(pa.array(texts, pa.string())) + 1).tolist() == [len(x) for x in want]
+
+
+def test_encoder_cache_gives_way(monkeypatch, prose):
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    coder = Encoder()
+    for seed in range(5):
+        texts = [prose(40, seed), prose(30, seed + 100) + "y" * 200]
+        flat, at = coder.encode(pa.array(texts), END_ID)
+        assert [flat[i:j].tolist() for i, j in zip(at, at[1:])] == [x.tolist() for x in ids_of(texts)]
+        assert all(len(k) <= tokens.LONG for k in coder.keys.to_pylist())
+
+
+def test_token_files_have_row_groups_and_page_indexes(spark, prose, monkeypatch):
+    """Several row groups a file, page indexes, delta or dictionary encodings, and reads that skip row groups."""
+    monkeypatch.setattr(token_files, "ROW_GROUP", 32 << 10)
+    monkeypatch.setattr(token_files, "PAGE", 4 << 10)
+    docs = spark.createDataFrame([(i, prose(100, i)) for i in range(2000)], "doc_id long, text string")
+    path = new_path(spark, "files")
+    token_files.write_token_files(docs, path, partitions=2)
+    files = glob.glob(f"{path.removeprefix('file://')}/*.parquet")
+    assert len(files) == 2
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        assert meta.num_row_groups > 1
+        for c in range(meta.num_columns):
+            column = meta.row_group(1).column(c)
+            assert column.has_offset_index and column.has_column_index and column.compression == "ZSTD"
+            assert any("DICTIONARY" in e or "DELTA" in e for e in column.encodings)
+    assert [r[0] for r in token_files.read_token_files(spark, path).filter("doc_id = 150").select("doc_id").collect()] == [150]
+
+
+def test_repeated_ids_spread_over_files(spark, prose):
+    docs = spark.createDataFrame([(7, prose(30, i)) for i in range(400)], "doc_id long, text string")
+    path = new_path(spark, "files")
+    token_files.write_token_files(docs, path, partitions=4)
+    got = token_files.read_token_files(spark, path).select("start", "n_tokens").orderBy("start").collect()
+    assert len(glob.glob(f"{path.removeprefix('file://')}/*.parquet")) == 4
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:])) and len(got) == 400
 
 
 def test_token_files_round_trip(spark, docs, rows, empty):
@@ -86,7 +135,15 @@ def test_context_limits_equal_brute_force(docs, rows, empty):
         assert (r["docs"], r["docs_total"], r["tokens_total"]) == (lengths.count(limit), len(lengths), sum(lengths))
         assert r["docs_over"] == sum(x > limit for x in lengths) and r["tokens_within"] == sum(x for x in lengths if x <= limit)
         assert r["truncated_total"] == sum(min(x, limit) for x in lengths) and r["quantile"] == sum(x <= limit for x in lengths) / len(lengths)
-    assert length_histogram.context_limits(length_histogram.length_histogram(empty)).count() == 0
+    histogram = length_histogram.length_histogram(docs)
+    for r in length_histogram.at_limits(histogram, [0, 1, 64, 777, 10**6]).collect():
+        k = r["context_limit"]
+        assert tuple(r)[1:] == (sum(x > k for x in lengths), sum(x for x in lengths if x <= k), sum(min(x, k) for x in lengths))
+    for r in length_histogram.quantiles(length_histogram.context_limits(histogram), [0.1, 0.5, 0.9, 1.0]).collect():
+        assert r["length"] == min(x for x in lengths if sum(y <= x for y in lengths) >= r["share"] * len(lengths))
+    nothing = length_histogram.length_histogram(empty)
+    assert length_histogram.context_limits(nothing).count() == 0
+    assert [tuple(r) for r in length_histogram.at_limits(nothing, [5]).collect()] == [(5, 0, 0, 0)]
 
 
 def brute_katz(rows, held, k=5, least=2):
