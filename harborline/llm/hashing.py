@@ -1,18 +1,21 @@
 """64-bit hashes of words and word n-grams of many texts at once.
 
-Words are runs of bytes other than space and \\t..\\r. Every hash is a polynomial over odd powers modulo
-2**64, taken from prefix sums and then mixed, so n-grams of any length cost the same.
+Words are runs of bytes other than space and \\t..\\r. Arrow's dictionary encoding leaves each different word
+of a batch once, and its two hashes are the halves of the word's XXH3 of 128 bits. The hash of an n-gram is a
+polynomial of its words' hashes over odd powers modulo 2**64, taken from prefix sums and then mixed, so
+n-grams of any length cost the same.
 """
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_TABLE = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64) | U(1)
 _ROOTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -48,12 +51,14 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0
 
 
 class Words:
-    """The words of a batch of texts: ``starts``/``ends`` in bytes, ``first[d]``: the first word of text d."""
+    """The words of a batch of texts: ``starts``/``ends`` in bytes, ``first[d]``: the first word of text d,
+    ``inside``: whether each byte is one of a word."""
 
     def __init__(self, raw: np.ndarray, offs: np.ndarray, lower: bool = False):
         self.raw, self.offs = (LOWER[raw] if lower else raw), offs
         n = len(raw)
-        word = ~SPACE[raw]
+        self._hashes, self.inside = None, ~SPACE[raw]
+        word = self.inside
         begin, end = word.copy(), word.copy()
         if n:
             cut = np.zeros(n + 1, bool)
@@ -69,7 +74,15 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return spans(prefix(_TABLE[self.raw], which), self.starts, self.ends, which)
+        """One of the two hashes of each word."""
+        if self._hashes is None:
+            size = self.ends - self.starts
+            flat = np.ascontiguousarray(self.raw[self.inside])
+            edges = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(flat)]).dictionary_encode()
+            known = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist())), U).reshape(-1, 2)
+            self._hashes = known[np.asarray(words.indices)]
+        return np.ascontiguousarray(self._hashes[:, which])
 
     def positions(self, k: int) -> np.ndarray:
         """Where a k-word window fits into its text."""
