@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -45,6 +46,31 @@ def test_repeats_keep_repeated_rows_and_inner_copies(spark, prose):
     assert got == [(5, 1, 0), (5, 80, 0), (5, 80, 0), (9, 161, 160)]
 
 
+def thue_morse(n, a, b):
+    """Two words of n letters that polynomial hashes over odd powers modulo 2**64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_repeats_tell_adversarial_words_apart(spark, prose):
+    x, y = thue_morse(1024, "a", "b")
+    left, right = prose(20, 91), prose(60, 92)
+    rows = [(1, f"{left} {x} {right}"), (2, f"{left} {y} {right}")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(rows) and got[2][1] == 60
+
+
+def test_repeats_compact_and_verify(spark, prose):
+    """Neighbouring pieces of one diagonal are one span; a span whose source reads otherwise stays."""
+    rows = [(9, 1, 0, 5, 3, 7, 10), (9, 1, 5, 5, 3, 7, 15), (9, 1, 12, 3, 3, 7, 22), (9, 1, 3, 4, 4, 7, 0), (9, 1, 1, 2, 3, 7, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, tag long, first int, edges int, source long, source_tag long, source_first int")
+    assert sorted(map(tuple, substring_dedup.compacted(df).collect())) == [(9, 1, 0, 10, 3, 7, 10), (9, 1, 3, 4, 4, 7, 0), (9, 1, 12, 3, 3, 7, 22)]
+    text = prose(200, 12)
+    docs = spark.createDataFrame([(1, text), (2, "start " + text)], "doc_id long, text string")
+    found = substring_dedup.repeated_spans(docs).collect()
+    assert [(r["doc_id"], r["first"], r["edges"], r["source"], r["source_first"]) for r in found] == [(2, 1, 151, 1, 0)]
+
+
 def brute_components(rows, shingle=5):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
@@ -87,6 +113,69 @@ def test_jaccard_chain_of_edits(spark, prose):
     assert len({v[1] for k, v in got.items() if k <= 100}) == 1
 
 
+def agree(x, y):
+    return 9 * len(x ^ y) <= len(x) + len(y)
+
+
+def test_linked_sets_agree_on_a_part():
+    """Sets of all sizes with as many differences as a link allows share a key; other seeds, too."""
+    r = np.random.default_rng(8)
+    for n in [*range(1, 60), 100, 333, 1000]:
+        for seed in (0, 3):
+            x = r.integers(0, 2**63, n, np.uint64)
+            for k in {0, n // 9, 2 * n // 9}:
+                for more in {0, k, k // 2}:  # k differences, so many of them only in the larger set
+                    y = np.concatenate((x[k - more :], r.integers(0, 2**63, more, np.uint64)))
+                    if not agree(set(x.tolist()), set(y.tolist())) or set(x.tolist()) == set(y.tolist()):
+                        continue
+                    both = np.concatenate((np.sort(x), np.sort(y)))
+                    text, key = jaccard_join.agreeing_parts(both, np.array([0, n, n + len(y)]), seed)
+                    assert set(key[text == 0].tolist()) & set(key[text == 1].tolist()), (n, k, more)
+
+
+def test_sketches_never_say_too_much():
+    r = np.random.default_rng(9)
+    pool = r.integers(0, 2**63, 900, np.uint64)
+    sets = [np.sort(r.choice(pool, n, replace=False)) for n in (3, 40, 200, 210, 600, 850)]
+    raw = jaccard_join.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 2)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            words = min(len(raw[i]), len(raw[j])) // 8
+            bound = jaccard_join.differ_at_least(jaccard_join._folded(raw[i], words), jaccard_join._folded(raw[j], words))
+            assert bound <= len(set(x.tolist()) ^ set(y.tolist())) and (i != j or bound == 0)
+
+
+def test_jaccard_regions_split(spark, prose, monkeypatch):
+    """A template with small regions and blocks: families of near copies, boundary documents, and documents
+    that share one passage, through several rounds and projections."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 6)
+    r, rows = random.Random(4), []
+    template = prose(60, 700).split()
+    for i in range(250):
+        text = list(template)
+        family = i % 5
+        for k in range(family * 9):
+            text[(k * 7 + family) % 60] = f"family{family}x{k}"
+        for k in range(r.randint(0, 5)):
+            text[r.randrange(60)] = f"w{r.randint(0, 400)}"
+        rows.append((i, " ".join(text)))
+    passage = prose(25, 701)
+    rows += [(1000 + i, passage + " " + prose(30, 5000 + i)) for i in range(60)]
+    want = brute_components(rows)
+    for levels in (8, 1):
+        monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        assert got == want
+    assert 5 < len({v[1] for k, v in want.items() if k < 1000}) < 220
+
+
+def test_jaccard_adversarial_words_and_repeated_ids(spark, prose):
+    x, y = thue_morse(1024, "a", "b")
+    rows = [(1, f"p q r s {x} u v"), (2, f"p q r s {y} u v"), (7, prose(50, 1)), (7, prose(50, 2)), (7, prose(50, 2)), (8, prose(50, 2)), (None, prose(50, 2))]
+    got = sorted(map(tuple, jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 3, 1), (2, 3, 2), (7, 46, 7), (7, 46, 7), (7, 46, 7), (8, 46, 7), (None, 46, None)], key=str)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
