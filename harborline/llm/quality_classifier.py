@@ -140,9 +140,9 @@ def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings())
         w = sent.value
         for b in batches:
             f, at = features(b.column("text"), settings.bits)
-            size = np.diff(at)
-            sums = np.concatenate(([0.0], np.cumsum(np.where(np.isin(np.arange(len(f)), at[:-1]), 0.0, w[f]))))
-            dot = w[0] + np.diff(sums[at]) * settings.scale / size if len(size) else np.zeros(0)
+            values = w[f]
+            values[at[:-1]] = 0.0  # the constant counts whole
+            dot = w[0] + np.add.reduceat(values, at[:-1]) * settings.scale / np.diff(at) if len(at) > 1 else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1.0 / (1.0 + np.exp(-np.clip(dot, -35, 35))))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
