@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.llm.best_fit_packing import pack
-from harborline.llm.common import documents, prepare, stored
+from harborline.llm.common import documents, free_name, prepare, stored
 from harborline.llm.jaccard_join import near_duplicates
 from harborline.llm.quality_rules import quality_rules
 from harborline.llm.secret_scans import redact
@@ -17,35 +17,45 @@ from harborline.llm.template_decontamination import without_leaks
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules. Null and empty texts go; equal rows stay or go together; an empty
+    table gives no rows; all columns stay, whatever their names."""
     prepare(spark)
-    return quality_rules(docs).filter("quality.kept").drop("quality")
+    name = free_name(docs, "quality")
+    return quality_rules(docs, verdict=name).filter(F.col(name)["kept"]).drop(name)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; rows without an id stay."""
+    """The document with the smallest id of each group of near duplicates.
+
+    Rows without an id or without words stay, as they link with nothing. Of several rows with that id all stay
+    whose texts differ, and one of those that are equal in every column.
+    """
     prepare(spark)
-    groups = near_duplicates(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    twice = kept.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).distinct()).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Null and empty texts stay; rows with one id go together; an empty table or
+    benchmark takes nothing away; all columns stay."""
     prepare(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark; n_chars follows the text."""
+    """All documents, with secrets replaced by a mark; n_chars follows the text. Null and empty texts stay as they
+    are; equal rows stay equal; an empty table gives no rows; all columns stay."""
     prepare(spark)
     hidden = redact(docs)
-    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else hidden
+    return hidden.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else hidden
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, each with its sequence and offset."""
+    """Pieces of documents, each with its sequence and offset. A null or empty text is one end id; repeated rows are
+    packed as often as they occur; an empty table gives no rows."""
     prepare(spark)
     return pack(docs)
 

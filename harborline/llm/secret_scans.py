@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm.common import documents
+from harborline.llm.common import documents, free_name
 from harborline.llm.registry import query
 
 # Fixed patterns of the base kinds.
@@ -27,9 +27,11 @@ SCALE = 1_000_000
 @dataclass(frozen=True)
 class Entropy:
     """Candidates have ``window`` characters or more of two of: lower case, upper case, digits. A window
-    counts as secret from ``hex_bits`` or ``mixed_bits`` of entropy per character on."""
+    counts as secret from ``hex_bits`` or ``mixed_bits`` of entropy per character on. What base spans leave of
+    such a span counts from ``least`` characters on."""
 
     window: int = 20
+    least: int = 8
     hex_bits: float = 3.0
     mixed_bits: float = 3.75
 
@@ -91,13 +93,13 @@ def _candidate(body: Column) -> Column:
     return (kinds >= 2) & ~allowed
 
 
-def find_secrets(docs: DataFrame, settings: Entropy = Entropy()) -> DataFrame:
-    """``docs`` with ``secrets``: array<struct<start, rank, end, kind>> by start, then kind.
+def find_secrets(docs: DataFrame, settings: Entropy = Entropy(), column: str = "secrets") -> DataFrame:
+    """``docs`` with ``column``: array<struct<start, rank, end, kind>> by start, then kind.
 
     Base kinds are leftmost and don't overlap within a kind; spans count code points, ends exclusive. An
-    entropy span reaches from the first to the last dense window of a candidate and is left out where a
-    base span overlaps it. A null or empty text has none; equal rows get equal spans; an empty table gives
-    no rows; texts are read whole.
+    entropy span reaches from the first to the last dense window of a candidate; base spans are cut out of it,
+    and what is left counts from ``least`` characters on. A null or empty text has none; equal rows get equal spans; an empty table gives
+    no rows; texts are read whole; a column that ``docs`` has by the name ``column`` gives way.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.struct
@@ -110,9 +112,18 @@ def find_secrets(docs: DataFrame, settings: Entropy = Entropy()) -> DataFrame:
     dense = F.transform(candidates, lambda s: plain(s["start"].alias("at"), _dense(s["body"], settings).alias("w")))
     dense = F.transform(F.filter(dense, lambda s: s["w"]["first"] >= 0), lambda s: plain((s["at"] + s["w"]["first"]).alias("start"), F.lit(3).alias("rank"), (s["at"] + s["w"]["last"]).alias("end"), F.lit("entropy").alias("kind")))
     drop_body = lambda spans: F.transform(spans, lambda s: plain(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    out = docs.withColumns({"__base": F.array_sort(F.concat(drop_body(assign), drop_body(access), drop_body(hexes))), "__dense": dense})
-    clear = F.filter("__dense", lambda d: ~F.exists("__base", lambda b: (b["start"] < d["end"]) & (d["start"] < b["end"])))
-    return out.withColumn("secrets", F.array_sort(F.concat("__base", clear))).drop("__base", "__dense")
+    base = F.array_sort(F.concat(drop_body(assign), drop_body(access), drop_body(hexes)))
+
+    def rest(d: Column, base: Column) -> Column:
+        """What base spans leave of a dense span."""
+        inner = F.filter(base, lambda b: (b["start"] < d["end"]) & (d["start"] < b["end"]))
+        begins = F.concat(F.array(d["start"]), F.transform(inner, lambda b, i: F.array_max(F.transform(F.slice(inner, F.lit(1), i + 1), lambda x: x["end"]))))
+        ends = F.concat(F.transform(inner, lambda b: b["start"]), F.array(d["end"]))
+        cut = F.zip_with(begins, ends, lambda x, y: plain(x.alias("start"), F.lit(3).alias("rank"), y.alias("end"), F.lit("entropy").alias("kind")))
+        return F.filter(cut, lambda x: (x["end"] - x["start"] >= settings.least) | ((x["start"] == d["start"]) & (x["end"] == d["end"])))
+
+    both = F.transform(F.array(plain(base.alias("base"), dense.alias("dense"))), lambda x: F.array_sort(F.concat(x["base"], F.flatten(F.transform(x["dense"], lambda d: rest(d, x["base"]))))))
+    return docs.withColumn(column, F.get(both, F.lit(0)))
 
 
 def redact(docs: DataFrame, settings: Entropy = Entropy(), mark: str = "[SECRET]") -> DataFrame:
@@ -120,15 +131,16 @@ def redact(docs: DataFrame, settings: Entropy = Entropy(), mark: str = "[SECRET]
 
     Columns and rows stay; a null text stays null.
     """
-    found = find_secrets(docs, settings)
+    name = free_name(docs, "secrets")
+    found = find_secrets(docs, settings, name)
     start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] < acc["at"]), acc["parts"]).otherwise(fresh).alias("parts"))
 
-    rebuilt = F.aggregate("secrets", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("secrets") > 0, rebuilt).otherwise(F.col("text"))).select(*docs.columns)
+    rebuilt = F.aggregate(name, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return found.withColumn("text", F.when(F.size(name) > 0, rebuilt).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def _joined(spans) -> Column:
