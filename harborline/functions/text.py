@@ -49,7 +49,7 @@ def number(c: Column) -> Column:
 def flag(c: Column) -> Column:
     """1, 0 or null from the usual spellings; anything else is null."""
     t = F.lower(F.trim(c.cast("string")))
-    return F.when(t.isin("1", "true", "yes", "y"), 1).when(t.isin("0", "false", "no", "n"), 0)
+    return F.when(t.isin("1", "true", "yes", "y", "required"), 1).when(t.isin("0", "false", "no", "n", "not required", "none"), 0)
 
 
 def json_strings(c: Column) -> Column:

@@ -36,6 +36,8 @@ def quotas(df: DataFrame, group: str, share: float) -> DataFrame:
 
 
 def stable_sample(df: DataFrame, group: str, key: str, quota: DataFrame) -> DataFrame:
-    """The ``quota`` rows of each group that come first by a hash of their key: the same on every run."""
+    """The ``quota`` rows of each group that come first by a hash of their key: the same on every run. The largest
+    quota bounds what each task keeps of a group before it is sorted whole."""
+    most = quota.agg(F.coalesce(F.max("quota"), F.lit(0))).first()[0]
     order = Window.partitionBy(group).orderBy(F.md5(F.col(key).cast("string")), F.col(key))
-    return df.withColumn("__rank", F.row_number().over(order)).join(quota.select(group, "quota"), group).filter(F.col("__rank") <= F.col("quota")).drop("__rank", "quota")
+    return df.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= int(most)).join(quota.select(group, "quota"), group).filter(F.col("__rank") <= F.col("quota")).drop("__rank", "quota")

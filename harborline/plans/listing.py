@@ -131,7 +131,7 @@ def organization_expansion(spark, sf_dir):
     return postings(spark, sf_dir).join(members, F.col("nation_id") == F.col("n_nationkey"), "left_semi").select("posting_id", "source")
 
 
-@query("near_place", f"SELECT posting_id, n_name AS place FROM {_VIEW} v JOIN nation ON nation_id = n_nationkey WHERE lower(n_name) LIKE '%n_1%'")
+@query("near_place", f"SELECT posting_id, n_name AS place FROM {_VIEW} v JOIN nation ON nation_id = n_nationkey WHERE contains(lower(n_name), 'n_1')")
 def near_place(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").filter(contains("n_name", "N_1"))
     return postings(spark, sf_dir).join(nation, F.col("nation_id") == F.col("n_nationkey")).select("posting_id", F.col("n_name").alias("place"))
