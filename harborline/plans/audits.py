@@ -41,7 +41,16 @@ def stable_hash_sample(spark, sf_dir):
     return stable_sample(docs, "source", "doc_id", docs.select("source").distinct().withColumn("quota", F.lit(3))).select("source", "doc_id")
 
 
-@query("source_quota")
+@query(
+    "source_quota",
+    """WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+            t AS (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS whole, CAST(ceil(CAST(sum(n) OVER () AS BIGINT) * 0.02::DOUBLE) AS BIGINT) AS target FROM g),
+            e AS (SELECT *, least(n, greatest(1, n * target // whole)) AS base, n * target % whole AS rest FROM t),
+            gap AS (SELECT CAST(max(target) - sum(base) AS BIGINT) AS d FROM e),
+            up AS (SELECT source FROM (SELECT source, rest, unnest(range(0, n - base)) AS k FROM e) ORDER BY k, rest DESC, source LIMIT (SELECT greatest(d, 0) FROM gap)),
+            down AS (SELECT source FROM (SELECT source, rest, unnest(range(1, base)) AS k FROM e) ORDER BY k, rest, source LIMIT (SELECT greatest(-d, 0) FROM gap))
+       SELECT source, n, CAST(base + (SELECT count(*) FROM up WHERE up.source = e.source) - (SELECT count(*) FROM down WHERE down.source = e.source) AS BIGINT) AS quota FROM e""",
+)
 def source_quota(spark, sf_dir):
     return quotas(table(spark, sf_dir, "documents"), "source", 0.02)
 

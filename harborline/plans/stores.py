@@ -48,5 +48,5 @@ def correction_diff(spark, sf_dir):
 
 @query("bounded_archive_plan", "SELECT doc_id, CAST(running_bytes AS BIGINT) AS running_bytes FROM (SELECT doc_id, sum(strlen(text)) OVER (ORDER BY doc_id) AS running_bytes FROM documents) WHERE running_bytes <= 500000")
 def bounded_archive_plan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 100).alias("block"))
-    return stores.bounded_plan(docs, "doc_id", F.octet_length("text").cast("long"), 500_000, "block").select("doc_id", "running_bytes")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return stores.bounded_plan(docs, "doc_id", F.octet_length("text").cast("long"), 500_000).select("doc_id", "running_bytes")

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from harborline.operators.merge import merge
-from harborline.operators.ranking import streaks, top_per_group
+from harborline.operators.ranking import running_totals, streaks, top_per_group
 from harborline.plans.listing import AS_OF
 from harborline.plans.registry import query
 from harborline.sources.tables import table
@@ -108,16 +108,10 @@ def recently_viewed(spark, sf_dir):
 
 @query("identity_allocation", "SELECT event_id, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY event_id) AS public_id FROM events WHERE event_type = 'signup'")
 def identity_allocation(spark, sf_dir):
-    """New ids after the largest known one, in key order: counts by range partition, then a number in each."""
-    new = table(spark, sf_dir, "events").filter("event_type = 'signup'").select("event_id")
-    width = 1000
-    blocks = new.groupBy(F.floor(F.col("event_id") / width).alias("block")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    base = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("base"))
-    top = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("top"))
-    place = F.row_number().over(Window.partitionBy("block").orderBy("event_id"))
-    return new.withColumn("block", F.floor(F.col("event_id") / width)).withColumn("place", place).join(base, "block").join(top).select("event_id", (F.col("top") + F.col("base") + F.col("place")).alias("public_id"))
+    """New ids after the largest known one, in key order."""
+    new = table(spark, sf_dir, "events").filter("event_type = 'signup'").select("event_id", F.lit(1).alias("one"))
+    top = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).scalar()
+    return running_totals(new, "event_id", "one", "place").select("event_id", (top + F.col("place")).alias("public_id"))
 
 
 @query("requeue_stale", "SELECT c_mktsegment AS source, count(*) AS stale FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1 ORDER BY stale DESC, source")
