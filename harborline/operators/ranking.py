@@ -30,7 +30,7 @@ def running_totals(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     Totals of blocks of 2**16 keys, of blocks of blocks and so on are summed first. So no task sorts more
     than 2**16 rows of one group, whatever the number of rows. Rows with a null key go.
     """
-    rows = df.withColumn("__b", F.shiftright(F.col(key).cast("long"), 16))
+    rows = df.filter(F.col(key).isNotNull()).withColumn("__b", F.shiftright(F.col(key).cast("long"), 16))
     levels = [rows.groupBy("__b").agg(F.sum(value).alias("__v"))]
     for _ in range(2):
         levels.append(levels[-1].groupBy(F.shiftright("__b", 16).alias("__b")).agg(F.sum("__v").alias("__v")))

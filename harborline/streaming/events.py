@@ -1,7 +1,7 @@
 """Event streams: counters, first and last seen, order-sensitive status, and the work queue.
 
-Each function is a plain transformation, so it runs the same on a table and on a stream; what stays open
-on a stream is bounded by a watermark.
+Each function is a plain transformation, so it runs the same on a table and on a stream. On a stream a
+watermark bounds what windows, sessions and batches keep; ``seen`` and ``status`` keep one row a user for good.
 """
 from __future__ import annotations
 
@@ -14,9 +14,9 @@ EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value do
 PRECEDENCE = ("error", "view", "click", "signup", "purchase")
 
 
-def seen(events: DataFrame, late: str = "1 hour") -> DataFrame:
+def seen(events: DataFrame) -> DataFrame:
     """(user_id, first_seen, last_seen, n) of each user."""
-    return events.withWatermark("ts", late).groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
+    return events.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
 
 
 def status(events: DataFrame) -> DataFrame:
