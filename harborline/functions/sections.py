@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from harborline.functions.terms import first_match
 from harborline.functions.text import collapse
 
-HEADING = r"^\s*(?:#{1,6}\s+(.+?)|\*{1,2}([^*]+?)\*{1,2}:?|([A-Z][A-Za-z0-9 &'/-]{3,}):|([A-Z][A-Z0-9 &'/-]{3,}):?)\s*$"
+# What a heading without marks may consist of.
+NAME = r"^[A-Z][A-Za-z0-9 &'/-]{3,}$"
 # Fixed section words, in the order in which they decide.
 SECTIONS = (
     ("benefits", r"\b(?:compensation|benefits?|perks?|pension|total\s+rewards)\b"),
@@ -17,12 +18,26 @@ SECTIONS = (
 BULLET = r"^\s*(?:[-*•]|\d+[.)])\s+"
 
 
+def _bare(raw: Column) -> Column:
+    """A line without the marks of a heading around it."""
+    return F.regexp_replace(F.trim(raw), r"^[#*\s]+|[*:\s]+$", "")
+
+
+def is_heading(raw: Column) -> Column:
+    """Marked by number signs or by stars on both sides, or a name that is in capitals or ends in a colon."""
+    line, bare = collapse(raw), _bare(raw)
+    end = F.regexp_replace(line, r":$", "")
+    starred = F.startswith(line, F.lit("*")) & F.endswith(end, F.lit("*")) & ~F.contains(bare, F.lit("*")) & ~line.rlike(r"^\*+\s")
+    named = bare.rlike(NAME) & ~line.rlike("^[#*]") & (F.endswith(line, F.lit(":")) | (bare == F.upper(bare)))
+    return (bare != "") & (line.rlike(r"^#{1,6}\s") | starred | named)
+
+
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, text, is_heading, section): lines that aren't blank; a line's section is that of the last
     heading before it, ``other`` without one."""
     rows = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("line", "raw"))
-    title = F.lower(collapse(F.concat(*(F.regexp_extract("raw", HEADING, i) for i in (1, 2, 3, 4)))))
-    rows = rows.withColumn("is_heading", F.col("raw").rlike(HEADING)).withColumn("text", F.when(F.col("is_heading"), title).otherwise(collapse(F.regexp_replace("raw", BULLET, ""))))
+    title = F.lower(collapse(_bare(F.col("raw"))))
+    rows = rows.withColumn("is_heading", is_heading(F.col("raw"))).withColumn("text", F.when(F.col("is_heading"), title).otherwise(collapse(F.regexp_replace("raw", BULLET, ""))))
     before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     named = F.when(F.col("is_heading"), first_match(F.col("text"), SECTIONS, "other"))
     return rows.filter("text <> ''").withColumn("section", F.coalesce(F.last(named, ignorenulls=True).over(before), F.lit("other"))).select(key, "line", "text", "is_heading", "section")

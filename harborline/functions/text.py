@@ -63,3 +63,18 @@ def json_strings(c: Column) -> Column:
 def string_list(c: Column) -> Column:
     """Parts between commas and semicolons, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def plain_words(c: Column) -> Column:
+    """Lower-case words and numbers with one space before, between and behind them."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def has_phrase(words: Column, phrases) -> Column:
+    """Whether ``words`` (see ``plain_words``) hold one of the phrases, as whole words."""
+    return F.exists(F.array(*(F.lit(f" {p} ") for p in phrases)), lambda p: F.contains(words, p))

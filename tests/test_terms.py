@@ -41,3 +41,19 @@ def test_union_fields(spark, name, flag, want):
 def test_career_stage(spark, title, body, student, want):
     df = spark.createDataFrame([(title, body, student)], "t string, b string, s int")
     assert df.select(terms.career_stage(F.col("t"), F.col("b"), F.col("s")).alias("v")).first()["v"] == want
+
+
+@pytest.mark.parametrize("text, source, want", [
+    ("La ressource que vous avez demandée n'est pas disponible", "x", "unrendered"), ("top\n 404 Not Found here", "x", "error_page"), ("Incident ID: 0a1b2c3d-99", "x", "bot_challenge"), ("page 404 not found", "x", None),
+    ("Join our Talent Pool", "ICBC", "generic_portal"), ("Join our Talent Pool. Position highlights", "ICBC", None), ("Join our Talent Pool", "x", None), ("cookies", "SaskTel", "generic_portal"), ("Salary: 10", "SaskTel", None), ("cookies", None, None),
+    ("Join Our Talent Community. Current Openings ( 1 of 1 )", "Government of Canada", "generic_portal"), ("Join Our Talent Community. Current Openings (1 of 1) Duties", "Government of Canada", None),
+])
+def test_capture_issue_by_source(spark, text, source, want):
+    df = spark.createDataFrame([(text, source)], "t string, s string")
+    assert df.select(captures.capture_issue(F.col("t"), F.col("s")).alias("v")).first()["v"] == want
+
+
+@pytest.mark.parametrize("name, want", [("work-study", (False, "")), ("Non spécifié", (False, "")), ("Union / Non-Union", (False, "")), ("MGMT Non-Union", (False, "")), ("Nonunionized staff", (False, "")), ("N/A", (False, "")), ("Faculty Collective Agreement", (True, "")), ("Unifor 3", (True, "Unifor 3"))])
+def test_union_labels(spark, name, want):
+    df = spark.createDataFrame([(name,)], "n string")
+    assert tuple(df.select(terms.union_fields(F.col("n"), F.lit(True)).alias("v")).first()["v"]) == want
