@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from harborline.plans import audits, listing, literals, posting_fields, publishing, rollups, stores, upkeep  # noqa: E402,F401  each registers its queries
+from harborline.plans import audits, descriptions, listing, literals, posting_fields, publishing, rollups, stores, upkeep  # noqa: E402,F401  each registers its queries
