@@ -11,6 +11,8 @@ def query(name: str, sql: str | None = None):
     """Register a (spark, sf_dir) function as ``name``; ``sql`` is its DuckDB counterpart."""
 
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = f
         if sql is not None:
             ORACLE[name] = sql
@@ -19,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from harborline.plans import audits, descriptions, listing, literals, posting_fields, publishing, rollups, stores, upkeep  # noqa: E402,F401  each registers its queries
+from harborline.plans import audits, cleanup, descriptions, listing, literals, posting_fields, publishing, rollups, stores, upkeep  # noqa: E402,F401  each registers its queries
