@@ -11,6 +11,7 @@ segments each different part once. Other models get whole texts.
 """
 from __future__ import annotations
 
+import array
 import functools
 
 import numpy as np
@@ -23,9 +24,9 @@ from harborline.llm.registry import query
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Beyond so many parts the cache starts anew; longer parts (bytes) are not kept.
-CACHE, LONG = 500_000, 64
+CACHE, LONG = 200_000, 64
 #: Bytes of text that are normalised at once; a longer text stays whole.
-SLICE = 1 << 20
+SLICE = 1 << 18
 SPACE = "▁"
 _ESCAPED = np.frombuffer(SPACE.encode(), np.uint8)
 
@@ -166,7 +167,6 @@ class Pieces:
             model.ParseFromString(f.read())
         if any(p.type == p.USER_DEFINED for p in model.pieces) or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("models with user-defined pieces or spaces as suffixes are not supported")
-        self.whole = SentencePieceProcessor(model_proto=model.SerializeToString())
         self.normalise = Normaliser(model.normalizer_spec)
         names = [p.piece for p in model.pieces]
         crossing = any(SPACE in n.lstrip(SPACE) for n, p in zip(names, model.pieces) if p.type == p.NORMAL)
@@ -176,18 +176,19 @@ class Pieces:
         spec = model.normalizer_spec  # the library then takes normalised text as it is
         spec.name, spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = "identity", b"", False, False, False
         self.library = SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _segment(self, parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of each part and their lengths in its bytes."""
-        out = []
-        for part, ids in zip(parts, self.library.encode([p.decode() for p in parts], num_threads=1)):
-            ids = np.array(ids, np.int32)
-            sizes = self.bytes_of[ids]
-            if (ids == self.unknown).any():  # its length is that of what wasn't known
-                sizes = np.array([len(x.surface.encode()) for x in self.library.encode(part.decode(), return_type="proto").pieces], np.int64)
-            out.append((ids, sizes))
-        return out
+        self.known: dict[bytes, bytes] = {}
+
+    def _segment(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part, as bytes of 32-bit integers."""
+        return [array.array("i", ids).tobytes() for ids in self.library.encode([p.decode() for p in parts], num_threads=1)]
+
+    def _sizes(self, ids: np.ndarray, edges: np.ndarray, parts: list[bytes]) -> np.ndarray:
+        """The bytes of each piece; part p's ids are those from edges[p] to edges[p + 1]. An unknown piece is as long as
+        what wasn't known."""
+        sizes = self.bytes_of[ids]
+        for p in np.unique(np.searchsorted(edges, np.flatnonzero(ids == self.unknown), "right") - 1).tolist():
+            sizes[edges[p] : edges[p + 1]] = [len(x.surface.encode()) for x in self.library.encode(parts[p].decode(), return_type="proto").pieces]
+        return sizes
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts end to end (null: none), the first and last byte (exclusive) of each within its text, and
@@ -213,13 +214,12 @@ class Pieces:
         if len(self.known) + len(fresh) > CACHE:
             self.known = {}
         self.known.update((p, x) for p, x in fresh.items() if len(p) <= LONG)
-        sizes = np.array([len(x) for x, _ in found], np.int64)
-        base, index = np.cumsum(sizes) - sizes, np.asarray(parts.indices)
-        count = sizes[index]
+        flat = np.frombuffer(b"".join(found), np.int32)
+        edges, index = np.cumsum([0, *(len(x) // 4 for x in found)]), np.asarray(parts.indices)
+        count = np.diff(edges)[index]
         first = np.cumsum(count) - count
-        take = np.repeat(base[index] - first, count) + np.arange(int(count.sum()))
-        ids = np.concatenate([x for x, _ in found])[take] if found else np.zeros(0, np.int32)
-        ends = np.cumsum(np.concatenate([x for _, x in found])[take]) if found else np.zeros(0, np.int64)
+        take = np.repeat(edges[index] - first, count) + np.arange(int(count.sum()))
+        ids, ends = flat[take], np.cumsum(self._sizes(flat, edges, names)[take])
         ids_at = np.append(first, len(ids))[np.searchsorted(starts, at)]
         return ids, *self._spans(ends, ids_at, norm, source, at, raw, offs), ids_at
 
@@ -240,6 +240,14 @@ def pieces(path: str | None = None) -> Pieces:
     return Pieces(path)
 
 
+@functools.lru_cache(maxsize=2)
+def decoder(path: str | None = None):
+    """The library's model as it is, for texts from ids."""
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path or model_path())
+
+
 def encode_pieces(docs: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, ids array<int>, starts array<int>, ends array<int>) of every row.
 
@@ -273,7 +281,7 @@ def decode_pieces(rows: DataFrame, model: str | None = None, ids: str = "ids", n
             lists = b.column(b.num_columns - 1)
             valid = np.asarray(lists.is_valid())
             flat, edges = np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))))
-            texts = [pieces(model).whole.decode(flat[a:z].tolist()) if ok and z > a else "" if ok else None for ok, a, z in zip(valid, edges, edges[1:])]
+            texts = [decoder(model).decode(flat[a:z].tolist()) if ok and z > a else "" if ok else None for ok, a, z in zip(valid, edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*others, name])
 
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in others)
