@@ -2,8 +2,9 @@
 
 Everything is column expressions. A pattern's matches and what lies between them alternate, so running
 lengths of both give positions in code points. Candidate strings for the entropy scan are runs of token
-characters; a window slides over each, with counts by character that change by one character in and one
-out, and with integer sums of c * log2(c), so that results don't depend on rounding.
+characters; a window slides over each, and its integer sum of c * log2(c) changes by the counts of the character
+that comes in and of the one that goes out, so results don't depend on rounding. The bits that a window needs
+follow from the classes of its characters. Time grows in proportion to the text, whatever its runs are like.
 """
 from __future__ import annotations
 
@@ -26,23 +27,52 @@ SCALE = 1_000_000
 
 @dataclass(frozen=True)
 class Entropy:
-    """Candidates have ``window`` characters or more of two of: lower case, upper case, digits. A window
-    counts as secret from ``hex_bits`` or ``mixed_bits`` of entropy per character on. What base spans leave of
-    such a span counts from ``least`` characters on."""
+    """Candidates have ``window`` characters or more. A window counts as secret from so many bits of entropy per
+    character on: by whether it has digits only, hexadecimal digits only, two of lower case, upper case and
+    digits, or letters of one case. What base spans leave of a secret span counts from ``least`` characters on."""
 
     window: int = 20
     least: int = 8
+    digit_bits: float = 3.1
     hex_bits: float = 3.0
     mixed_bits: float = 3.75
+    letter_bits: float = 4.1
 
 
-#: Candidates that never count: UUIDs, paths and slugs of plain words, placeholders, embedded images.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?[A-Za-z]*([/_=-]+([A-Za-z][a-z]*[0-9]{0,2}|[A-Z]+|[0-9]{1,4}))+/?$",
-    r"(?i)example|sample|placeholder|changeme|your[_-]",
-    r"^(?:iVBORw0KGgo|R0lGOD|/9j/)",
-)
+#: What never counts. A window counts only if it touches a part between separators that isn't plain: a word, words in
+#: camel case, capitals, a short number. Whole candidates: UUIDs, and embedded images of 100 characters or more.
+SEPARATOR = "[/_+=-]"
+PLAIN = r"^(?:[A-Za-z][a-z]{0,18}[0-9]{0,2}|[a-z]{0,19}(?:[A-Z][a-z]{1,18}){0,8}[0-9]{0,2}|[A-Z]{1,19}|[0-9]{1,4})$"
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+IMAGE = r"^(?:iVBORw0KGgo|R0lGOD|/9j/)"
+IMAGE_LENGTH = 100
+#: Elements that one step of a running fold copies.
+BLOCK = 1024
+#: What the entropy scan carries from character to character, besides the first and last hit.
+FIELDS = ("window", "sum", "lower", "upper", "digit", "hex", "odd")
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, combine) -> Column:
+    """For each of ``values`` (array<int>) the fold of all before it, from 0 on: within blocks, and over the blocks."""
+
+    def fold(some: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("before"))
+        return F.aggregate(some, start, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")))
+
+    def blocks(all_values: Column) -> Column:
+        n = F.floor((F.size(all_values) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), n), lambda k: fold(F.slice(all_values, k * BLOCK + 1, F.lit(BLOCK))))
+
+    def joined(parts: Column) -> Column:
+        heads = fold(F.transform(parts, lambda b: b["at"]))["before"]
+        return F.flatten(F.zip_with(parts, heads, lambda b, head: F.transform(b["before"], lambda x: combine(head, x))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(blocks(v), joined)).otherwise(F.expr("CAST(array() AS array<int>)")))
 
 
 def _spans(text: Column, pattern: str, kind: str, found: Column) -> Column:
@@ -50,47 +80,73 @@ def _spans(text: Column, pattern: str, kind: str, found: Column) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     item = "array<struct<start:int,rank:int,end:int,kind:string,body:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {item})").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (begin + F.length(x["body"])).alias("end"), F.lit(kind).alias("kind"), x["body"].alias("body"))
-        return F.struct((begin + F.length(x["body"])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def placed(both: Column) -> Column:
+        sizes = F.zip_with(both["m"], F.slice(both["g"], F.lit(1), F.size(both["m"])), lambda m, g: F.length(m) + g)
 
-    zipped = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("body"), g.alias("gap")))
-    return F.when(found, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.expr(f"CAST(array() AS {item})"))
+        def span(m: Column, i: Column, before: Column) -> Column:
+            begin = F.get(before, i) + F.get(both["g"], i)
+            return F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (begin + F.length(m)).alias("end"), F.lit(kind).alias("kind"), m.alias("body"))
+
+        return _let(_running(sizes, lambda a, b: a + b), lambda before: F.transform(both["m"], lambda m, i: span(m, i, before)))
+
+    return F.when(found, _let(F.struct(matches.alias("m"), gaps.alias("g")), placed)).otherwise(F.expr(f"CAST(array() AS {item})"))
+
+
+def _odd(body: Column) -> Column:
+    """1 for each character of a part that isn't plain, 0 for all others and for the end."""
+    part = lambda p: F.concat(F.array_repeat(F.when(p.rlike(PLAIN), F.lit(0)).otherwise(F.lit(1)), F.length(p)), F.array(F.lit(0)))
+    return F.flatten(F.transform(F.split(body, SEPARATOR, -1), part))
 
 
 def _dense(body: Column, settings: Entropy) -> Column:
     """struct<first, last> of the windows of ``body`` with enough entropy (first: -1 if none)."""
     w = settings.window
-    f = F.array(*(F.lit(round(SCALE * c * math.log2(c)) if c else 0) for c in range(w + 1)))
+    f = [round(SCALE * c * math.log2(c)) if c else 0 for c in range(w + 1)]
+    growth = F.array(*(F.lit(z - a) for a, z in zip(f, f[1:])))  # of the sum, when a character with that count comes in
+
+    def most(bits: float) -> Column:  # sum of c * log2(c) up to which the entropy is at least bits
+        return F.lit(math.floor(SCALE * w * (math.log2(w) - bits)))
+
+    def scan(v: Column) -> Column:
+        codes, odd, grow = v["codes"], v["odd"], v["growth"]
+
+        def counted(acc: Column, i: Column, x: Column) -> Column:
+            """The sum, the window's codes and the counts by class after code ``x.come`` came in and ``x.go`` went out."""
+            times = lambda code: F.size(F.filter(x["stay"], lambda y: y == code))
+            total = acc["sum"] + F.get(grow, times(x["come"])) - F.when(i >= w, F.get(grow, times(x["go"]))).otherwise(F.lit(0))
+            within = lambda c, a, z: c.between(ord(a), ord(z))
+            kinds = {
+                "lower": lambda c: within(c, "a", "z"), "upper": lambda c: within(c, "A", "Z"), "digit": lambda c: within(c, "0", "9"),
+                "hex": lambda c: within(c, "0", "9") | within(c, "a", "f") | within(c, "A", "F"),
+            }
+            n = [(acc[k] + has(x["come"]).cast("int") - has(x["go"]).cast("int")).alias(k) for k, has in kinds.items()]
+            odds = acc["odd"] + F.get(odd, i) - F.when(i >= w, F.get(odd, i - w)).otherwise(F.lit(0))
+            return F.struct(F.concat(x["stay"], F.array(x["come"])).alias("window"), total.alias("sum"), *n, odds.alias("odd"))
+
+        def judged(acc: Column, i: Column, n: Column) -> Column:
+            several = sum(((n[k] > 0).cast("int") for k in ("lower", "upper", "digit")), F.lit(0)) >= 2
+            limit = F.when(n["digit"] == w, most(settings.digit_bits)).when(n["hex"] == w, most(settings.hex_bits)).when(several, most(settings.mixed_bits)).otherwise(most(settings.letter_bits))
+            hit = (i >= w - 1) & (n["odd"] > 0) & (n["sum"] <= limit)
+            at = F.when(~hit, F.struct(acc["first"].alias("first"), acc["last"].alias("last"))).otherwise(F.struct(F.when(acc["first"] < 0, i - (w - 1)).otherwise(acc["first"]).alias("first"), (i + 1).alias("last")))
+            return _let(at, lambda x: F.struct(*(n[k].alias(k) for k in FIELDS), x["first"].alias("first"), x["last"].alias("last")))
+
+        def step(acc: Column, i: Column) -> Column:
+            stay = F.when(i >= w, F.slice(acc["window"], 2, w - 1)).otherwise(acc["window"])  # slicing codes would copy all of them
+            moved = F.struct(stay.alias("stay"), F.get(codes, i).alias("come"), F.when(i >= w, F.get(codes, i - w)).otherwise(F.lit(-1)).alias("go"))
+            return _let(_let(moved, lambda x: counted(acc, i, x)), lambda n: judged(acc, i, n))
+
+        zero = F.lit(0)
+        state = F.struct(F.expr("CAST(array() AS array<int>)").alias("window"), *(zero.alias(k) for k in FIELDS[1:]), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+        return F.aggregate(F.sequence(zero, F.size(codes) - 1), state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
-    def most(bits: float) -> int:  # sum of c * log2(c) up to which the entropy is at least bits
-        return math.floor(SCALE * w * (math.log2(w) - bits))
-
-    limit = F.when(body.rlike("^[0-9a-fA-F]+$"), F.lit(most(settings.hex_bits))).otherwise(F.lit(most(settings.mixed_bits)))
     codes = F.transform(F.split(body, ""), lambda c: F.ascii(c))
-    state = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("at"))
-
-    def step(acc: Column, i: Column) -> Column:
-        come, go = F.get(codes, i), F.when(i >= w, F.get(codes, i - w)).otherwise(F.lit(-1))
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == come, 1).otherwise(0) - F.when(k == go, 1).otherwise(0))
-        c, g = F.get(acc["counts"], come), F.get(acc["counts"], go)
-        change = (F.when(come == go, F.lit(0)).otherwise(F.get(f, c + 1) - F.get(f, c) + F.when(go >= 0, F.get(f, g - 1) - F.get(f, g)).otherwise(F.lit(0)))).cast("long")
-        total = acc["sum"] + change
-        hit = (i >= w - 1) & (total <= limit)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(hit & (acc["first"] < 0), i - (w - 1)).otherwise(acc["first"]).alias("first"), F.when(hit, i + 1).otherwise(acc["last"]).alias("last"), (i + 1).alias("at"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.length(body) - 1), state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    nothing = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    return _let(_odd(body), lambda odd: F.when(F.array_contains(odd, 1), _let(F.struct(codes.alias("codes"), odd.alias("odd"), growth.alias("growth")), scan)).otherwise(nothing))
 
 
 def _candidate(body: Column) -> Column:
-    kinds = sum((body.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]")), F.lit(0))
-    allowed = F.lit(False)
-    for p in ALLOWED:
-        allowed = allowed | body.rlike(p)
-    return (kinds >= 2) & ~allowed
+    return ~body.rlike(UUID) & ~(body.rlike(IMAGE) & (F.length(body) >= IMAGE_LENGTH))
 
 
 def find_secrets(docs: DataFrame, settings: Entropy = Entropy(), column: str = "secrets") -> DataFrame:
@@ -107,7 +163,7 @@ def find_secrets(docs: DataFrame, settings: Entropy = Entropy(), column: str = "
     assign = F.filter(assign, lambda s: F.length(F.regexp_extract(s["body"], ASSIGN, 2)) >= 8)
     access = _spans(text, ACCESS, "access", text.contains("AKIA"))
     hexes = _spans(text, HEX, "hex", text.rlike(HEX))
-    run = f"[A-Za-z0-9+/_=-]{{{settings.window},}}"
+    run = f"[A-Za-z0-9+/_-]{{{settings.window},}}={{0,2}}"
     candidates = F.filter(_spans(text, run, "entropy", text.rlike(run)), lambda s: _candidate(s["body"]))
     dense = F.transform(candidates, lambda s: plain(s["start"].alias("at"), _dense(s["body"], settings).alias("w")))
     dense = F.transform(F.filter(dense, lambda s: s["w"]["first"] >= 0), lambda s: plain((s["at"] + s["w"]["first"]).alias("start"), F.lit(3).alias("rank"), (s["at"] + s["w"]["last"]).alias("end"), F.lit("entropy").alias("kind")))
@@ -129,17 +185,18 @@ def find_secrets(docs: DataFrame, settings: Entropy = Entropy(), column: str = "
 def redact(docs: DataFrame, settings: Entropy = Entropy(), mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret span of ``text`` replaced by ``mark``; overlapping spans become one mark.
 
-    Columns and rows stay; a null text stays null.
+    Columns and rows stay; a null text stays null; texts are read whole, however long; an empty table stays empty.
     """
     name = free_name(docs, "secrets")
     found = find_secrets(docs, settings, name)
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("parts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] < acc["at"]), acc["parts"]).otherwise(fresh).alias("parts"))
+    def pieces(before: Column) -> Column:
+        """What lies before each span and its mark; spans that begin inside an earlier one give nothing."""
+        at = lambda i: F.get(before, i)
+        return F.transform(F.col(name), lambda s, i: F.when(s["start"] < at(i), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), at(i) + 1, s["start"] - at(i)), F.lit(mark))))
 
-    rebuilt = F.aggregate(name, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    ends = F.transform(F.col(name), lambda s: s["end"])
+    rebuilt = F.concat(F.array_join(_let(_running(ends, F.greatest), pieces), ""), F.substring(F.col("text"), F.array_max(ends) + 1, F.length("text")))
     return found.withColumn("text", F.when(F.size(name) > 0, rebuilt).otherwise(F.col("text"))).select(*docs.columns)
 
 
