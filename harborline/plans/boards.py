@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from harborline.functions import terms
 from harborline.operators import boards as B
-from harborline.plans.descriptions import _flat, _quote
 from harborline.plans.registry import query
+from harborline.plans.sql import flat as _flat
+from harborline.plans.sql import plain as _plain
+from harborline.plans.sql import quote as _quote
 from harborline.sources.tables import table
 
 AS_OF = dt.date(2026, 1, 1)
@@ -41,16 +43,18 @@ _lit = lambda x: "NULL" if x is None else _quote(x) if isinstance(x, str) else s
 _PAGES = ", ".join(f"({i}, {_lit(b)}, {_lit(t)})" for i, (b, t) in enumerate(PAGES))
 _RULES = ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in B.RULES)
 _words = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
-_label = lambda x: f"coalesce(nullif({_words(f'regexp_replace({x}, {_quote(chr(92) + chr(40) + '[^)]*' + chr(92) + chr(41))}, {_quote(' ')}, {_quote(chr(103))})')}, ''), {_words(x)})"
-_plain = lambda x: f"(' ' || trim(regexp_replace(lower(coalesce({x}, '')), '[^{chr(92)}p{{L}}{chr(92)}p{{N}}]+', ' ', 'g')) || ' ')"
+_label = lambda x: "coalesce(nullif(" + _words(rf"regexp_replace({x}, '\([^)]*\)', ' ', 'g')") + ", ''), " + _words(x) + ")"
 _packed = "regexp_replace(lower(value), '[\\s_-]+', '', 'g')"
-_EMPLOYMENT = "CASE " + " ".join(f"WHEN {' OR '.join([f'contains({_packed}, {_quote(p)})' for p in parts] + ([f'(contains({_packed}, {_quote(chr(112) + chr(97) + chr(114) + chr(116))}) AND NOT contains({_packed}, {_quote(chr(105) + chr(109) + chr(112) + chr(97) + chr(114) + chr(116))}))'] if name == 'Part-time' else []))} THEN '{name}'" for name, parts in terms.EMPLOYMENT) + " ELSE 'Full-time' END"
+_PART = f"(contains({_packed}, 'part') AND NOT contains({_packed}, 'impart'))"
+_hit = lambda name, parts: " OR ".join([f"contains({_packed}, {_quote(p)})" for p in parts] + [_PART] * (name == "Part-time"))
+_EMPLOYMENT = "CASE " + " ".join(f"WHEN {_hit(name, parts)} THEN '{name}'" for name, parts in terms.EMPLOYMENT) + " ELSE 'Full-time' END"
 _PERIOD = "CASE " + " ".join(f"WHEN regexp_matches(regexp_replace(lower(value), '[\\s_-]+', ' ', 'g'), {_quote(p)}) THEN '{name}'" for name, p in terms.PERIODS) + " ELSE 'yearly' END"
 _AMOUNTS = "list_transform(regexp_extract_all(value, '\\$([0-9]{1,3}(,[0-9]{3})*(\\.[0-9]{1,4})?)', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE))"
 _DATES = "list_filter(list_transform(regexp_extract_all(value, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4}'), lambda x: coalesce(try_strptime(x, '%Y-%m-%d'), try_strptime(x, '%B %d, %Y'))), lambda x: x IS NOT NULL)"
 _day = lambda i: f"strftime(({_DATES})[{i}], '%Y-%m-%d')"
 _NONE = f"{_plain('value')} IN (' n a ', ' none ')"
-_DENIED = f"(trim({_plain('value')}) IN ({', '.join(map(_quote, terms.NO_UNION))}) OR {' OR '.join(f'starts_with({_plain(chr(118) + chr(97) + chr(108) + chr(117) + chr(101))}, {_quote(f" {p} ")})' for p in terms.NO_UNION_START)})"
+_starts = " OR ".join(f"starts_with({_plain('value')}, {_quote(f' {p} ')})" for p in terms.NO_UNION_START)
+_DENIED = f"(trim({_plain('value')}) IN ({', '.join(map(_quote, terms.NO_UNION))}) OR {_starts})"
 _SQL = f"""WITH pages AS (SELECT * FROM (VALUES {_PAGES}) AS t(n, board, page)), rules AS (SELECT * FROM (VALUES {_RULES}) AS t(board, field, kind, label, format, constant, rank)),
  c AS (SELECT doc_id, board, coalesce(text, '') || chr(10) || page AS text FROM documents JOIN pages ON doc_id % {len(PAGES)} = n),
  l AS (SELECT doc_id, board, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: {_flat('x')}), lambda x: x <> '') AS ls FROM c),

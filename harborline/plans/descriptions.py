@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from harborline.functions import requirements as R
 from harborline.functions import sections
 from harborline.plans.registry import query
+from harborline.plans.sql import flat as _flat
+from harborline.plans.sql import quote as _quote
 from harborline.sources.tables import table
 
 BLOCKS = (
@@ -26,12 +28,6 @@ def descriptions(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), block).alias("description"))
 
 
-def _quote(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-_SPACE = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\x{FEFF}]+"
-_flat = lambda x: f"trim(regexp_replace({x}, '{_SPACE}', ' ', 'g'))"
 _DESCRIPTIONS = f"SELECT doc_id, coalesce(text, '') || chr(10) || list_extract([{', '.join(map(_quote, BLOCKS))}], CAST(doc_id % {len(BLOCKS)} + 1 AS INTEGER)) AS description FROM documents"
 _CASES = " ".join(f"WHEN regexp_matches(words, {_quote(pattern)}) THEN '{name}'" for name, pattern in sections.SECTIONS)
 _LINES = f"""d AS ({_DESCRIPTIONS}), parts AS (SELECT doc_id, regexp_split_to_array(description, '\\r?\\n') AS p FROM d),

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from harborline.functions import restatements as R
 from harborline.functions import sections
-from harborline.plans.descriptions import _flat, _quote
 from harborline.plans.registry import query
+from harborline.plans.sql import flat as _flat
+from harborline.plans.sql import has_phrase, plain
+from harborline.plans.sql import quote as _quote
 from harborline.sources.tables import table
 
 BLOCKS = (
@@ -54,7 +56,7 @@ def _round(n: int) -> str:
    OR (regexp_matches(bare, '^[A-Z][A-Za-z0-9 &''/-]{{3,}}$') AND NOT regexp_matches(flat, '^[#*]') AND (flat LIKE '%:' OR bare = upper(bare)))) THEN {_KIND} END AS mark FROM k{n}),
  s{n} AS (SELECT *, count(mark) OVER w AS section, last_value(mark IGNORE NULLS) OVER w AS kind FROM m{n} WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
  c{n} AS (SELECT doc_id, i, unnest(range(1, len(cs) + 1)) AS j, cs FROM (SELECT doc_id, i, list_filter(regexp_split_to_array(regexp_replace(body, '[.]+$', ''), '\\s*[;,]\\s*(and\\s+)?|\\s+and\\s+'), lambda c: c <> '') AS cs FROM s{n}
-   WHERE mark IS NULL AND is_bullet AND kind IN ('required', 'optional') AND NOT ({' OR '.join(f"contains(' ' || trim(regexp_replace(lower(body), '[^{chr(92)}p{{L}}{chr(92)}p{{N}}]+', ' ', 'g')) || ' ', ' {p} ')" for p in R.OPTIONAL)}))),
+   WHERE mark IS NULL AND is_bullet AND kind IN ('required', 'optional') AND NOT {has_phrase(plain('body'), R.OPTIONAL)})),
  t{n} AS (SELECT doc_id, i, j, cs[j] AS clause, {_tokens('cs[j]')} AS ts FROM c{n}),
  u{n} AS (SELECT t.*, EXISTS (SELECT 1 FROM g WHERE g.doc_id = t.doc_id AND list_has_all(g.al, t.ts) AND list_has_any(g.core, t.ts)) AS covered, list_has_all(coalesce(f.idle, {_GENERAL}), t.ts) AS idle FROM t{n} t LEFT JOIN f USING (doc_id)),
  v{n} AS (SELECT doc_id, i, bool_or(covered) AS hit, string_agg(clause, ', ' ORDER BY j) FILTER (NOT covered AND NOT idle) AS rest FROM u{n} GROUP BY doc_id, i),

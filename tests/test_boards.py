@@ -19,7 +19,7 @@ def test_boards_of_each_kind(spark, monkeypatch):
     got = fields(spark, rows)
     assert got[0] == {"union_name": "CUPE Local 5167", "is_unionized": "true", "closing_date": "2026-03-03", "duration": "12 months", "employment_type": "Contract", "work_model": "Hybrid"}
     assert got[1] == {"union_name": "", "is_unionized": "false", "employment_type": "Permanent", "work_model": "On-site"}
-    assert got[2]["closing_date"] == "2026-02-20" and got[2]["salary_low"] == "80000.00" and got[2]["salary_high"] == "95500.50" and got[2]["duration"] == "18 months" and got[2]["department"] == "Parks"
+    assert got[2]["closing_date"] == "2026-02-20" and got[2]["salary_low"] == "80000.00" and got[2]["salary_high"] == "95500.50" and got[2]["duration"] == "Temporary" and got[2]["department"] == "Parks"
     assert got[3]["salary"] == "$30.25 to $38.10 an hour" and got[3]["salary_period"] == "hourly" and got[3]["duration"] == "6 months" and got[3]["closing_date"] == "2026-04-09"
     assert got[4]["union_name"] == "ONA" and got[4]["employment_type"] == "Part-time" and got[4]["salary_low"] == "25.00"
     assert got[5]["department"] == "Transit" and got[5]["closing_date"] == "2026-05-01" and got[5]["employment_type"] == "Contract"
