@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harborline.functions import captures, dates, durations, pay, schedules, terms, text, titles
+from harborline.functions import captures, dates, deadlines, durations, pay, schedules, terms, text, titles
 from harborline.plans.registry import query
 
 AS_OF = dt.date(2026, 1, 1)
@@ -31,7 +31,7 @@ cases("availability_norm", schedules.availability, [("nights and holidays", "Nig
 cases("salary_period_norm", terms.salary_period, [("per course", "flat"), ("$20/hr", "hourly"), ("per month", "monthly"), ("annual", "yearly"), ("", "yearly"), (None, "yearly")])
 cases("work_model_norm", terms.work_model, [("work from home", "Remote"), ("Blended", "Hybrid"), ("office", "On-site"), (None, "On-site")])
 cases("employment_type_norm", terms.employment_type, [("Supply", "Occasional"), ("Seasonal help", "Seasonal"), ("part time", "Part-time"), ("continuing", "Permanent"), ("temp", "Contract"), ("", "Full-time")])
-cases("closing_status", lambda c: captures.closing(c, F.lit(AS_OF))["status"], [("Closing date: 2026-03-01", "known"), ("open until filled", "open_until_filled"), ("No application deadline", "not_listed"), ("Deadline: TBD", "invalid"), ("", "not_checked"), (None, "not_checked")])
+cases("closing_status", lambda c: deadlines.closing(c, F.lit(AS_OF))["status"], [("Closing date: 2026-03-01", "known"), ("open until filled", "open_until_filled"), ("No application deadline", "not_listed"), ("Deadline: TBD", "invalid"), ("", "not_checked"), (None, "not_checked")])
 cases("capture_gate", captures.capture_issue, [("", "empty"), ("Skip to main content", "unrendered"), ("NoSuchKey", "error_page"), ("please verify you are human", "bot_challenge"), ("this job has expired", "expired_page"), ("A clerk is wanted", None)])
 cases("title_norm", titles.job_title, [("Clerk (Casual)", "Clerk"), ("Contract, Community Worker", "Community Worker"), ("Planner - Inventory", "Planner"), ("Casual", "Casual"), (None, "")])
 cases("department_norm", titles.department, [("EECS", "EECS"), ("TRANSIT", "Transit"), ("OFFICE OF THE CAO", "Office of the CAO"), ("General", ""), (None, "")])

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from harborline.functions import captures, schedules, terms
+from harborline.functions import captures, deadlines, schedules, terms
 from tests.test_functions import value
 
 
@@ -28,7 +28,7 @@ def test_own_output_stays(spark, f):
 
 @pytest.mark.parametrize("given, want", [("Closing Date: March 3, 2026", (dt.date(2026, 3, 3), "known")), ("No application deadline", (None, "not_listed")), ("open until filled", (None, "open_until_filled")), ("Deadline: TBD", (None, "invalid")), ("Deadline: 45/45/2026 or apply by 2026-05-01", (dt.date(2026, 5, 1), "known")), ("", (None, "not_checked")), (None, (None, "not_checked")), ("a clerk", (None, "not_checked"))])
 def test_closing(spark, given, want):
-    assert tuple(value(spark, lambda c: captures.closing(c, F.lit(dt.date(2026, 1, 1))), given)) == want
+    assert tuple(value(spark, lambda c: deadlines.closing(c, F.lit(dt.date(2026, 1, 1))), given)) == want
 
 
 @pytest.mark.parametrize("name, flag, want", [("Non-Union", True, (False, "")), ("C.U.P.E. Local 1", False, (True, "CUPE Local 1")), ("Union", None, (True, "")), ("Collective Agreement", False, (False, "")), (None, True, (True, "")), ("Non-Academic Staff Association", False, (True, "Non-Academic Staff Association"))])
