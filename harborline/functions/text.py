@@ -77,4 +77,4 @@ def plain_words(c: Column) -> Column:
 
 def has_phrase(words: Column, phrases) -> Column:
     """Whether ``words`` (see ``plain_words``) hold one of the phrases, as whole words."""
-    return F.exists(F.array(*(F.lit(f" {p} ") for p in phrases)), lambda p: F.contains(words, p))
+    return let(words, lambda w: F.exists(F.array(*(F.lit(f" {p} ") for p in phrases)), lambda p: F.contains(w, p)))  # else every phrase would make the words anew
