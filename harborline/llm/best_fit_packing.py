@@ -22,57 +22,49 @@ CAPACITY = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
-def _complement(gap: int, left: np.ndarray, pairs: dict[int, list[tuple[int, int]]]) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap`` exactly, larger pieces first."""
+def _complement(gap: int, left: np.ndarray, pairs: dict[int, list[tuple[int, int]]], most: int) -> tuple[int, ...] | None:
+    """Up to ``most`` (of three) available lengths that sum to ``gap`` exactly, larger pieces first."""
 
     def there(*lengths: int) -> bool:
         return all(left[x] >= lengths.count(x) for x in lengths)
 
-    if left[gap]:
+    if most and left[gap]:
         return (gap,)
-    for x, y in pairs.get(gap, ()):
+    for x, y in pairs.get(gap, ()) if most > 1 else ():
         if there(x, y):
             return (x, y)
-    for x in np.flatnonzero(left[:gap])[::-1].tolist():
+    for x in np.flatnonzero(left[:gap])[::-1].tolist() if most > 2 else ():
         for y, z in pairs.get(gap - x, ()):
             if y <= x and there(x, y, z):
                 return (x, y, z)
     return None
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences), using up ``counts`` (pieces by length).
+def _filled(left: np.ndarray, pairs: dict[int, list[tuple[int, int]]], most: int, residues: bool) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences that up to ``most`` exact complements fill, longest lengths first; uses up ``left``.
 
-    Longest lengths go first. A gap that one, two or three available lengths fill exactly takes them, as
-    often as there are enough; any other gap takes the longest length that fits, and what then remains is
-    looked at in the same way. Every step uses up a length, so there are no more than ``capacity`` steps.
+    With ``residues`` a length without an exact complement stays for later; else its gap takes the longest
+    length that fits, and what then remains is looked at in the same way.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] += n
-    pairs: dict[int, list[tuple[int, int]]] = {}
-    there = np.flatnonzero(left[: capacity + 1]).tolist()
-    for x in reversed(there):
-        for y in there:
-            if y > x or x + y > capacity:
-                break
-            pairs.setdefault(x + y, []).append((x, y))
-    out = []
-    for longest in reversed(there):
+    capacity, out = len(left) - 1, []
+    for longest in np.flatnonzero(left)[::-1].tolist():
         while left[longest]:
             left[longest] -= 1
             took, gap = [longest], capacity - longest
             while gap > 0:
-                more = _complement(gap, left, pairs)
+                more = _complement(gap, left, pairs, most)
                 if more is None:
                     fits = np.flatnonzero(left[: gap + 1])
-                    if not len(fits):
+                    if residues or not len(fits):
                         break
                     more = (int(fits[-1]),)
                 for x in more:
                     left[x] -= 1
                 took += more
                 gap -= sum(more)
+            if gap and residues:
+                left[longest] += 1
+                break
             times = 1 + min(int(left[x]) // took.count(x) for x in set(took))
             for x in took:
                 left[x] -= times - 1
@@ -80,6 +72,62 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return out
 
 
+def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over a histogram: pieces, longest first, go where the smallest gap is that holds them.
+
+    Sequences with the same lengths are one entry, so the work grows with the lengths, not with the pieces.
+    """
+    capacity = len(left) - 1
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by gap
+    for x in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[x])
+        while n:
+            gap = min((g for g in open_ if g >= x), default=capacity)
+            lengths, many = open_[gap].pop() if gap in open_ else ((), n)
+            if gap in open_ and not open_[gap]:
+                del open_[gap]
+            each = gap // x
+            full = min(many, n // each)
+            some = n % each if full < many else 0  # the last sequence may take fewer
+            n -= full * each + some
+            untouched = many - full - (some > 0)
+            for k, times in ((each, full), (some, 1 if some else 0), (0, untouched if lengths else 0)):
+                if times:
+                    open_.setdefault(gap - k * x, []).append((lengths + (x,) * k, times))
+    return [entry for entries in open_.values() for entry in entries]
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, how many such sequences), using up ``counts`` (pieces by length).
+
+    Combinations that fill a gap exactly are consumed, then best fit places the residues. Complements of
+    three lengths may use up short pieces that later gaps need, so this is done with up to three, two, one
+    and no complements, and once with gaps that are refilled after the longest length that fits. The
+    plan with the fewest sequences counts, so it is never longer than that of best-fit decreasing alone.
+    """
+    given = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        given[length] += n
+    pairs: dict[int, list[tuple[int, int]]] = {}
+    there = np.flatnonzero(given).tolist()
+    for x in reversed(there):
+        for y in there:
+            if y > x or x + y > capacity:
+                break
+            pairs.setdefault(x + y, []).append((x, y))
+    least = -(-sum(x * int(given[x]) for x in there) // capacity)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for most, residues in ((3, True), (3, False), (2, True), (1, True), (0, True)):
+        left = given.copy()
+        made = _filled(left, pairs, most, residues)
+        made += best_fit(left)
+        if best is None or sum(n for _, n in made) < sum(n for _, n in best):
+            best = made
+        if sum(n for _, n in best) == least:  # nothing can be shorter
+            break
+    return best
+
+
 def _cut(vocabulary: str | None, capacity: int):
     def run(batches):
         from pyspark import TaskContext

@@ -1,4 +1,6 @@
 import glob
+import bisect
+import collections
 import random
 import zlib
 
@@ -127,6 +129,35 @@ def test_plan_takes_exact_complements_first():
         assert used == counts
 
 
+def _best_fit_decreasing(lengths, capacity):
+    """Sequences of plain best-fit decreasing, piece by piece."""
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, x)
+        if i == len(gaps):
+            n += 1
+            gaps.append(capacity)
+        gap = gaps.pop(i)
+        bisect.insort(gaps, gap - x)
+    return n
+
+
+def test_plan_needs_no_more_sequences_than_best_fit():
+    rng = np.random.default_rng(5)
+    for capacity in (16, 64, 1024):
+        for k in range(40):
+            top = capacity + 1 if k % 2 else capacity // 2
+            counts = collections.Counter(rng.integers(1, top, rng.integers(1, 400)).tolist())
+            plain = best_fit_packing.best_fit(np.array([counts[x] for x in range(capacity + 1)]))
+            want = _best_fit_decreasing(counts.elements(), capacity)
+            assert sum(n for _, n in plain) == want
+            out = best_fit_packing.plan(dict(counts), capacity)
+            assert -(-sum(counts.elements()) // capacity) <= sum(n for _, n in out) <= want
+            assert all(sum(took) <= capacity for took, _ in out)
+            assert collections.Counter({x: sum(took.count(x) * n for took, n in out) for x in counts}) == counts
+    assert best_fit_packing.plan({}, 10) == []
+
+
 def test_context_limits_equal_brute_force(docs, rows, empty):
     lengths = [len(x) - 1 for x in ids_of(r[1] for r in rows)]
     got = {r["context_limit"]: r for r in length_histogram.context_limits(length_histogram.length_histogram(docs)).collect()}
