@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from harborline.plans import archive, audits, boards, cleanup, deadlines, descriptions, licences, listing, literals, overviews, places, posting_fields, publishing, restatements, rollups, stores, upkeep  # noqa: E402,F401  each registers its queries
+from harborline.plans import archive, audits, boards, cleanup, deadlines, descriptions, licences, listing, literals, overviews, places, posting_fields, publishing, restatements, rollups, stores, upkeep, validation  # noqa: E402,F401  each registers its queries
