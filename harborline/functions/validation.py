@@ -121,8 +121,9 @@ def validated(df: DataFrame, key: str, captured: str, tags: tuple[str, ...], as_
     lost += [F.when(F.col("salary_min") > F.col("salary_max"), issue("salary_min", "order"))]
     of_lists = [_list_issues(f, F.col(f)) for f in LISTS]
     found = F.filter(F.flatten(F.array(F.array(*lost), *of_lists)), lambda x: x.isNotNull())
-    issues = F.when(~F.col("is_object"), F.array(issue("row", "unreadable"))).when(F.col("job_title").isNull(), F.array(issue("job_title", "missing"))).otherwise(found)
-    accepted = F.col("is_object") & F.col("job_title").isNotNull()
+    titled = text.blank_to_null(given("job_title")).isNotNull()  # a title is never cut down to nothing
+    issues = F.when(~F.col("is_object"), F.array(issue("row", "unreadable"))).when(~titled, F.array(issue("job_title", "missing"))).otherwise(found)
+    accepted = F.col("is_object") & titled
     counts = [F.when(accepted, given(f).isNotNull().cast("int")) for f in SCALARS] + [F.when(accepted, given(f)["given"]) for f in LISTS]
     return rows.select(key, accepted.alias("accepted"), F.when(accepted, F.struct(*SCALARS, *LISTS)).alias("row"), issues.cast(f"array<{ISSUE}>").alias("issues"), F.array(*counts).alias("given"))
 
@@ -134,7 +135,8 @@ def accepted_rows(checked: DataFrame, key: str) -> DataFrame:
 
 def issue_rows(checked: DataFrame, key: str) -> DataFrame:
     """(key, accepted, field, kind, entries): one row for each issue."""
-    return checked.select(key, "accepted", F.explode("issues").alias("i")).select(key, "accepted", "i.*")
+    each = checked.select(key, "accepted", F.explode_outer("issues").alias("i"))  # a plain explode has a filter on the array pushed down, which computes all fields twice
+    return each.filter("i IS NOT NULL").select(key, "accepted", "i.*")
 
 
 def field_counts(checked: DataFrame) -> DataFrame:
