@@ -19,8 +19,8 @@ BLOCKS = (
 )
 
 
-def descriptions(spark, sf_dir):
-    block = F.element_at(F.array(*map(F.lit, BLOCKS)), (F.col("doc_id") % len(BLOCKS) + 1).cast("int"))
+def descriptions(spark, sf_dir, blocks=BLOCKS):
+    block = F.element_at(F.array(*map(F.lit, blocks)), (F.col("doc_id") % len(blocks) + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), block).alias("description"))
 
 
@@ -30,7 +30,6 @@ def _steps(x, steps):
     return flat(x)
 
 
-_MINE = f"SELECT doc_id, coalesce(text, '') || chr(10) || list_extract([{', '.join(map(quote, BLOCKS))}], CAST(doc_id % {len(BLOCKS)} + 1 AS INTEGER)) AS description FROM documents"
 _words = lambda c: rf"' ' || trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[,;:()/]', ' , ', 'g'), '\.([^a-z]|$)', ' , \1', 'g'), '[^\p{{L}}\p{{N}},#.]+', ' ', 'g')) || ' , '"
 _begins = lambda phrases: "(" + " OR ".join(f"starts_with(w, {quote(f' {p} ')})" for p in phrases) + ")"
 _school, _known = E.LEVELS[0][2] + E.LEVELS[1][2], [p for _, _, phrases in E.LEVELS for p in phrases]
@@ -38,7 +37,19 @@ _hit = [(has_phrase("v", phrases), E.suffices()[name]) for name, _, phrases in E
 _any_of = " | ".join(f"CASE WHEN {h} THEN {bits} ELSE 0 END" for h, bits in _hit)
 _all_of = " & ".join(f"CASE WHEN {h} THEN {bits} ELSE -1 END" for h, bits in _hit)
 _proof = f"({has_phrase('v', E.VERIFICATION)} OR contains(v, ' education verification '))"
-FOUND = f"""{D._LINES.replace(D._DESCRIPTIONS, _MINE)},
+
+
+def described(blocks) -> str:
+    """SQL of the documents' texts with one of the blocks behind each."""
+    return f"SELECT doc_id, coalesce(text, '') || chr(10) || list_extract([{', '.join(map(quote, blocks))}], CAST(doc_id % {len(blocks)} + 1 AS INTEGER)) AS description FROM documents"
+
+
+def found_sql(described_sql: str) -> str:
+    """The steps up to the labels that are kept, (doc_id, label, line), of descriptions given as SQL."""
+    return f"{D._LINES.replace(D._DESCRIPTIONS, described_sql)},{_FOUND}"
+
+
+_FOUND = f"""
  e0 AS (SELECT doc_id, line, section, {_steps('text', E.ASIDES)} AS t FROM needs WHERE section NOT IN ('optional', 'benefits')),
  e1 AS (SELECT *, {_words('t')} AS w, {_words(f"regexp_replace(t, {quote(E.SCHOOL_DIPLOMA)}, '{chr(92)}1 school', 'g')")} AS v FROM e0),
  e2 AS (SELECT * FROM e1 WHERE {has_phrase('w', E.VERIFICATION)} OR ({has_phrase('w', _known)}
@@ -57,11 +68,12 @@ FOUND = f"""{D._LINES.replace(D._DESCRIPTIONS, _MINE)},
  found AS (SELECT *, lower(regexp_extract(label, {quote(E.FIELD)}, 1)) AS field FROM e5 WHERE label <> ''),
  kept AS (SELECT doc_id, label, min(line) AS line FROM found x WHERE NOT EXISTS (SELECT 1 FROM found y WHERE y.doc_id = x.doc_id AND y.bits <> 0 AND y.bits & x.bits = y.bits
    AND (y.bits <> x.bits OR (x.field = '' AND y.field <> '')) AND (x.field = '' OR x.field = y.field)) GROUP BY doc_id, label)"""
+FOUND = found_sql(described(BLOCKS))
 
 
-def required(spark, sf_dir):
+def required(texts):
     """(doc_id, lines, labels): how many lines require education, and the labels that no other one implies, in order."""
-    lines = requirement_lines(descriptions(spark, sf_dir), "doc_id", "description")
+    lines = requirement_lines(texts, "doc_id", "description")
     found = lines.select("doc_id", "line", E.education(F.col("section"), F.col("text")).alias("e")).filter("e.label <> ''")
     rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "e"))).alias("rows"))
     return rows.select("doc_id", F.size("rows").cast("long").alias("lines"), E.without_implied(F.transform("rows", lambda r: r["e"])).alias("labels"))
@@ -69,7 +81,7 @@ def required(spark, sf_dir):
 
 @query("education_required", f"WITH {FOUND} SELECT k.doc_id, n.lines, string_agg(label, '; ' ORDER BY line) AS education FROM kept k JOIN (SELECT doc_id, count(*) AS lines FROM found GROUP BY doc_id) n USING (doc_id) GROUP BY k.doc_id, n.lines")
 def education_required(spark, sf_dir):
-    return required(spark, sf_dir).select("doc_id", "lines", F.array_join("labels", "; ").alias("education"))
+    return required(descriptions(spark, sf_dir)).select("doc_id", "lines", F.array_join("labels", "; ").alias("education"))
 
 
 _SHOWN = "SELECT doc_id, lower(string_agg(label, ' ' ORDER BY line)) AS t FROM kept GROUP BY doc_id"
@@ -79,7 +91,7 @@ _matched = ", ".join(f"regexp_matches(t, {quote(pattern)}) AS {level}" for level
 @query("education_filters", f"WITH {FOUND}, shown AS ({_SHOWN}) SELECT doc_id, {_matched}, contains(t, 'law') AS in_field FROM shown")
 def education_filters(spark, sf_dir):
     """Which level filters each posting passes; the values are JSON arrays, JSON objects and plain text in turn."""
-    rows = required(spark, sf_dir)
+    rows = required(descriptions(spark, sf_dir))
     as_object = F.to_json(F.map_from_arrays(F.transform("labels", lambda x, i: F.format_string("%05d", i)), "labels"))
     value = F.when(F.col("doc_id") % 3 == 0, F.to_json("labels")).when(F.col("doc_id") % 3 == 1, as_object).otherwise(F.array_join("labels", " "))
     shown = rows.select("doc_id", value.alias("v"))
