@@ -44,7 +44,7 @@ class Settings:
     """Counts up to ``discounted`` are discounted; pairs seen less than ``least`` times count as unseen."""
 
     discounted: int = 5
-    least: int = 2
+    least: int = 1
 
 
 def _cut(batch: pa.RecordBatch):

@@ -177,7 +177,7 @@ def test_context_limits_equal_brute_force(docs, rows, empty):
     assert [tuple(r) for r in length_histogram.at_limits(nothing, [5]).collect()] == [(5, 0, 0, 0)]
 
 
-def brute_katz(rows, held, k=5, least=2):
+def brute_katz(rows, held, k=5, least=1):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = [[*words((r[1] or "").translate(lower)), None] for r in rows]
     c, pairs, n_texts = {}, {}, 0
