@@ -75,8 +75,9 @@ CONDITIONS = tuple(f"{when} {who}{what}" for when in ("for", "if", "where") for
 CAR_CUES = ("valid", "current", "must", "possess", "hold", "maintain", "obtain", "provide", "access to", "own", "personal", "reliable", "required", "mandatory", "license", "licence", "permit", "abstract", "ability to drive")
 CAR_OPTIONAL = ("asset", "preferred", "preferable", "nice to have", "desirable", "advantage", "optional")
 NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+EITHER_AED = ("cpr or aed", "cpr and , or aed") + tuple(f"cpr {level}{x} or aed" for level in ("", "level ") for x in "abc")
 FIRST_AID_LEVELS = ("Standard", "Emergency", "Intermediate", "Basic", "Advanced")
-OTHER_FIRST_AID = ("mental health", "psychological", "st john s", "st johns", "first responder")
+OTHER_FIRST_AID = ("mental health first aid", "psychological first aid", "st john s", "st johns", "st , john s", "st , johns", "first responder")
 
 
 def line_words(text: Column) -> Column:
@@ -174,8 +175,8 @@ def first_aid(words: Column) -> Column:
         spelt = [f"cpr {letter}", f"cpr level {letter}", f"level {letter} cpr"] + (["class c"] if letter == "c" else [])
         grade = F.when(has_phrase(words, spelt), f"CPR-{letter.upper()}").otherwise(grade)
     grade = F.coalesce(grade, F.when(cpr, "CPR"))
-    tail = F.when(aed & has_phrase(words, ("cpr or aed", "cpr and , or aed")), " or AED").when(aed, "/AED").otherwise("")
+    tail = F.when(aed & has_phrase(words, EITHER_AED), " or AED").when(aed, "/AED").otherwise("")
     other = (aid & has_phrase(words, OTHER_FIRST_AID)) | (has_phrase(words, ("basic cardiac life support", "bls")) & has_phrase(words, ("or",)))
-    ability = has_phrase(words, ("ability to provide first aid", "ability to perform first aid", "ability to administer first aid")) & ~cpr & ~F.contains(words, F.lit("certif"))
+    ability = has_phrase(words, ("ability to provide first aid", "ability to perform first aid", "ability to administer first aid")) & ~cpr & ~F.contains(words, F.lit("certif")) & ~has_phrase(words, [f"{x.lower()} first aid" for x in FIRST_AID_LEVELS])
     label = F.when(~aid & ~cpr & aed, "AED").when(~aid & cpr, F.concat(grade, F.when(aed, "/AED").otherwise(""))).when(grade.isNotNull(), F.concat(level, F.lit(" with "), grade, tail)).when(aed, F.concat(level, F.lit(" with AED"))).otherwise(level)
     return F.when(~(other | ability | has_phrase(words, OPTIONAL)) & (aid | cpr | aed), label)

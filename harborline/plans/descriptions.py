@@ -19,7 +19,7 @@ BLOCKS = (
     "## Education and training\n1. First aid or CPR level B\n2. Mental health first aid\n3. PeopleSoft / Workday\n4. 18 months experience\n- PeopleSoft / Workday",
     "## Qualifications\n- A vehicle for positions requiring travel\n- German, Italian\n- Access to a vehicle preferred\n- Emergency First Aid, CPR or AED\n- Emergency first aid cpr",
     "## Skills\n- Reports in Excel\n- Reports in excel and Word\n- At least one year of experience\n\n## Benefits\n- Typing 70 wpm\n- Defibrillator (AED) at work",
-    "No vehicle needed; AED\nSecurity requirement: N/A\n## Skills\n- Standard or Intermediate First Aid\n- Ability to provide first aid\n- Works with Word.",
+    "No vehicle needed; AED\nSecurity requirement: N/A\n## Skills\n- Standard or Intermediate First Aid\n- Ability to provide first aid\n- Ability to provide first aid; Standard First Aid, mental health training\n- Works with Word.",
 )
 
 
@@ -154,9 +154,9 @@ _GRADE = f"""CASE WHEN {_any(('cpr c', 'cpr level c', 'level c cpr', 'class c'))
 
 @query(
     "first_aid_labels",
-    f"""WITH {_LINES}, aids AS (SELECT doc_id, {_AID} AS aid, {_CPR} AS cpr, {_AED} AS aed, {_LEVEL} AS lv, {_GRADE} AS gr, {_any(('cpr or aed', 'cpr and , or aed'))} AS alt FROM needs
+    f"""WITH {_LINES}, aids AS (SELECT doc_id, {_AID} AS aid, {_CPR} AS cpr, {_AED} AS aed, {_LEVEL} AS lv, {_GRADE} AS gr, {_any(R.EITHER_AED)} AS alt FROM needs
           WHERE ({_AID} OR {_CPR} OR {_AED}) AND section <> 'optional' AND NOT {_any(R.OPTIONAL)} AND NOT ({_AID} AND {_any(R.OTHER_FIRST_AID)}) AND NOT ({_any(('basic cardiac life support', 'bls'))} AND contains(words, ' or '))
-          AND NOT ({_any([f'ability to {x} first aid' for x in ('provide', 'perform', 'administer')])} AND NOT {_CPR} AND NOT contains(words, 'certif')))
+          AND NOT ({_any([f'ability to {x} first aid' for x in ('provide', 'perform', 'administer')])} AND NOT {_CPR} AND NOT contains(words, 'certif') AND NOT {_any([f'{x.lower()} first aid' for x in R.FIRST_AID_LEVELS])}))
         SELECT doc_id, CASE WHEN lv IS NULL AND NOT cpr AND aed THEN 'AED' WHEN lv IS NULL THEN gr || CASE WHEN aed THEN '/AED' ELSE '' END
           WHEN gr IS NOT NULL THEN lv || ' with ' || gr || CASE WHEN aed AND alt THEN ' or AED' WHEN aed THEN '/AED' ELSE '' END WHEN aed THEN lv || ' with AED' ELSE lv END AS label FROM aids""",
 )
