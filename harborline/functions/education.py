@@ -5,14 +5,13 @@ levels at or above them, kept as bits: one line implies another if whatever suff
 """
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harborline.functions.requirements import OPTIONAL, line_words
-from harborline.functions.text import collapse, has_phrase, let
+from harborline.functions.text import any_of, collapse, has_phrase, let
 
 # Levels, what each of them includes directly, and phrases (see ``line_words``) that name them.
 LEVELS = (
@@ -58,35 +57,30 @@ SPELLINGS = (  # what a label begins with, in one spelling
 )
 
 
-def _any(phrases) -> str:
-    """A pattern for any of the phrases, the longest first, in either case."""
-    return "(?i:" + "|".join(re.escape(p).replace("\\ ", r"\s+").replace("\\-", "-") for p in sorted(phrases, key=len, reverse=True)) + ")"
-
-
 def _spelt() -> tuple:
     """A level in front in its one spelling; a bare name counts only before a field and at the end."""
-    full = tuple((rf"^{_any(names)}(\s.*|[^a-zA-Z].*|)$", rf"{label}\1") for label, names, _ in SPELLINGS)
-    return full + tuple((rf"^{_any(bare)}(\s+in\s.*|)$", rf"{label}\1") for label, _, bare in SPELLINGS if bare)
+    full = tuple((rf"^{any_of(names)}(\s.*|[^a-zA-Z].*|)$", rf"{label}\1") for label, names, _ in SPELLINGS)
+    return full + tuple((rf"^{any_of(bare)}(\s+in\s.*|)$", rf"{label}\1") for label, _, bare in SPELLINGS if bare)
 
 
 _CODE = r"[A-Z]{2,}(?:-[A-Z0-9]+)+"
 _LABELLED = rf"(?:(?i:education|amendment to education|a?ed ?\d+|stream ?\d+[^*:]{{0,60}}|[a-z]{{1,6}}-\d\d(?: ?/ ?[a-z]{{1,6}}-\d\d)? only)|{_CODE}|[A-Z][A-Za-z /.-]{{1,40}} \({_CODE}\))"
 ASIDES = (  # labels in front, asides of wishes and the rest, before a line is judged
-    (rf"^{_any(PREFACE)}\s*", ""),
+    (rf"^{any_of(PREFACE)}\s*", ""),
     (rf"^[*\s:–—-]*(?:{_LABELLED}\*{{0,2}} ?[.:–—-][*\s.:–—-]*)+", ""),
-    (rf"\([^()]{{0,200}}\b{_any(WISHED)}\b[^()]{{0,200}}\)", ""),
-    (rf" ?{_any(REST)}.*$", ""),
-    (rf"\.\s+{_any(SENTENCES)}\b.*$", ""),
+    (rf"\([^()]{{0,200}}\b{any_of(WISHED)}\b[^()]{{0,200}}\)", ""),
+    (rf" ?{any_of(REST)}.*$", ""),
+    (rf"\.\s+{any_of(SENTENCES)}\b.*$", ""),
 )
 STEPS = (
-    (rf"[ ,;.(–—-]{{0,4}}\b(?i:(?:or |and )?(?:an? |the )?(?:{_any(JUDGEMENTS)} )*combinations? (?:of|considered)\b).*$", ""),
-    (rf" ?{_any(OBTAINED)}", ""),
+    (rf"[ ,;.(–—-]{{0,4}}\b(?i:(?:or |and )?(?:an? |the )?(?:{any_of(JUDGEMENTS)} )*combinations? (?:of|considered)\b).*$", ""),
+    (rf" ?{any_of(OBTAINED)}", ""),
     (r"(?i) with acceptable specialization in ", " in "),
     (r"(?i),? (?:with|and|plus) (?:[a-z(),0-9+]+ ){0,6}(?:years?|yrs?)\b.{0,80}\bexperience\b.*$", ""),
-    (rf",? (?:and )?{_any(HELD)} .{{0,120}}{_any(PAPERS)}.*$", ""),
-    (rf",? (?:and )?{_any(REGISTERED)} .*$", ""),
-    (rf",? {_any(EQUALS)}(?: ?\([^()]*\))?[.;, ]*$", ""),
-    (rf"^(?:{_any(OPENINGS)}\s+)+", ""),
+    (rf",? (?:and )?{any_of(HELD)} .{{0,120}}{any_of(PAPERS)}.*$", ""),
+    (rf",? (?:and )?{any_of(REGISTERED)} .*$", ""),
+    (rf",? {any_of(EQUALS)}(?: ?\([^()]*\))?[.;, ]*$", ""),
+    (rf"^(?:{any_of(OPENINGS)}\s+)+", ""),
     *_spelt(),
     (r"^College diploma \(\d+ years?\)", "College diploma"),
     (r"^degree\b", "Degree"),
@@ -111,9 +105,9 @@ def _changed(c: Column, steps) -> Column:
 def _bits(words: Column) -> Column:
     up = suffices()
     hits = [(has_phrase(words, phrases), up[name]) for name, _, phrases in LEVELS]
-    any_of = reduce(lambda a, b: a.bitwiseOR(b), (F.when(h, bits).otherwise(0) for h, bits in hits))
-    all_of = reduce(lambda a, b: a.bitwiseAND(b), (F.when(h, bits).otherwise(-1) for h, bits in hits))
-    return F.when(any_of == 0, 0).when(words.contains(" or ") | words.contains(" , "), any_of).otherwise(all_of)
+    either = reduce(lambda a, b: a.bitwiseOR(b), (F.when(h, bits).otherwise(0) for h, bits in hits))
+    every = reduce(lambda a, b: a.bitwiseAND(b), (F.when(h, bits).otherwise(-1) for h, bits in hits))
+    return F.when(either == 0, 0).when(words.contains(" or ") | words.contains(" , "), either).otherwise(every)
 
 
 def _school(text: Column, words: Column) -> Column:

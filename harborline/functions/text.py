@@ -1,4 +1,6 @@
 """Text functions as column expressions. White space includes the no-break space, as in scraped pages."""
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +80,8 @@ def plain_words(c: Column) -> Column:
 def has_phrase(words: Column, phrases) -> Column:
     """Whether ``words`` (see ``plain_words``) hold one of the phrases, as whole words."""
     return let(words, lambda w: F.exists(F.array(*(F.lit(f" {p} ") for p in phrases)), lambda p: F.contains(w, p)))  # else every phrase would make the words anew
+
+
+def any_of(phrases, space: str = r"\s+") -> str:
+    """A pattern for any of the phrases, the longest first, in either case; ``space`` stands between their words."""
+    return "(?i:" + "|".join(space.join(re.escape(w).replace("\\-", "-") for w in p.split(" ")) for p in sorted(phrases, key=len, reverse=True)) + ")"
