@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from harborline.plans import announcements, archive, audits, benefits, boards, boilerplate, cleanup, deadlines, descriptions, details, education, licences, listing, literals, overviews, places, posting_fields, publishing, records, restatements, rollups, stores, upkeep, validation  # noqa: E402,F401  each registers its queries
+from harborline.plans import announcements, archive, audits, benefits, boards, boilerplate, cleanup, deadlines, descriptions, details, education, filters, licences, listing, literals, overviews, places, posting_fields, publishing, records, restatements, rollups, stores, upkeep, validation  # noqa: E402,F401  each registers its queries
