@@ -5,6 +5,7 @@ levels at or above them, kept as bits: one line implies another if whatever suff
 """
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -162,8 +163,9 @@ def education(section: Column, text: Column) -> Column:
 
         return let(line_words(t), required)
 
-    wanted = let(_changed(F.coalesce(text, F.lit("")), ASIDES), judged)
-    return F.when(~section.isin("optional", "benefits") & wanted, education_label(text))
+    spelt = sorted({p.split(" ")[0] for _, _, phrases in LEVELS for p in phrases} | {p.split(" ")[0] for p in VERIFICATION})
+    possible = F.lower(text).rlike("(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in spelt) + ")(?![a-z0-9])")  # most lines end here
+    return F.when(~section.isin("optional", "benefits") & possible, F.when(let(_changed(text, ASIDES), judged), education_label(text)))
 
 
 def without_implied(found: Column) -> Column:
