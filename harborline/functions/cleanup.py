@@ -15,7 +15,7 @@ MANDATORY = ("to be considered for employment", "must be", "required to", "are r
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, line ends included."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def unbulleted(line: Column) -> Column:
