@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harborline.functions.requirements import OPTIONAL, first_aid, line_words
-from harborline.functions.text import collapse, has_phrase, let, plain_words
+from harborline.functions.requirements import FIRST_AID_STEMS, OPTIONAL, first_aid, line_words
+from harborline.functions.text import collapse, has_phrase, let, plain_words, stems
 
 _times = lambda heads, tails: tuple(" ".join(x for x in (a, b) if x) for a in heads for b in tails)
 # Labels and the whole phrases that stand for them (words only), some with two labels; phrases that name no
@@ -93,6 +93,11 @@ def benefits(values: Column) -> Column:
     return let(found, lambda all_of: F.filter(all_of, lambda x: (x != "Pension") | ~F.exists(all_of, lambda y: y.isin(*names))))
 
 
+#: What a line that names a plan or a certificate mentions.
+PENSION_STEMS = stems(*(phrases for _, phrases in PENSIONS))
+CERTIFICATE_STEMS = (*FIRST_AID_STEMS, *stems(*(phrases for _, phrases in NAMED_CERTIFICATES)))
+
+
 def named_benefits(section: Column, text: Column) -> Column:
     """The pension plans that a line in a section on benefits names."""
     def names(words: Column) -> Column:

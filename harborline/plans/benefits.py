@@ -5,6 +5,7 @@ from harborline.functions import benefits as B
 from harborline.functions import requirements as R
 from harborline.functions.requirements import requirement_lines
 from harborline.functions.text import json_strings
+from harborline.functions.text import mentions, once
 from harborline.plans import descriptions as D
 from harborline.plans.education import described, descriptions
 from harborline.plans.registry import query
@@ -78,7 +79,8 @@ def benefits_and_certificates_named(spark, sf_dir):
     """What the lines of each description name: pension plans among the benefits, certificates among what is required."""
     lines = requirement_lines(descriptions(spark, sf_dir, BLOCKS), "doc_id", "description")
     section, text = F.col("section"), F.col("text")
-    found = lines.select("doc_id", "line", B.named_benefits(section, text).alias("b"), B.line_certificates(section, text).alias("c")).filter("size(b) + size(c) > 0")
+    lines = lines.filter(mentions(text, (*B.PENSION_STEMS, *B.CERTIFICATE_STEMS)))
+    found = lines.select("doc_id", "line", once(F.struct(B.named_benefits(section, text).alias("b"), B.line_certificates(section, text).alias("c"))).alias("x")).select("doc_id", "line", "x.*").filter("size(b) + size(c) > 0")
     rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "b", "c"))).alias("rows"))
     labels = lambda name: F.flatten(F.transform("rows", lambda r: r[name]))
     return rows.select("doc_id", F.array_join(F.array_distinct(labels("b")), "; ").alias("benefits"), F.array_join(B.one_first_aid(labels("c")), "; ").alias("certificates"))
