@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from harborline.functions.deadlines import matches
 from harborline.functions.requirements import OPTIONAL, line_words
-from harborline.functions.text import has_phrase, let
+from harborline.functions.text import has_phrase, let, stems
 
 # Classes, provinces, roles and bodies; phrases are those of ``line_words``, the more specific first.
 CLASSES = ("G", "G1", "G2", "A", "B", "C", "D", "E", "F", "1", "2", "3", "4", "5", "6", "AZ", "BZ", "CZ", "DZ", "EZ", "FZ", "MZ")
@@ -37,6 +37,7 @@ OTHER = ("software licence", "software license", "application licence", "product
 OBTAIN = ("ability to obtain", "able to obtain", "willing to obtain", "willingness to obtain", "obtain and maintain")
 EQUIVALENT = ("or equivalent", "or provincial equivalent", "or other provincial equivalent")
 ELIGIBLE = ("eligible", "eligibility")
+STEMS = stems(TERMS, DRIVER, ("endorsement",))  # what a line with a label mentions
 SEPARATOR = r"[()\[\]]|;\s*|\x01|,?\s+and must (?:be able to|have the ability to) (?:obtain )?"
 SENTENCE = r"\.\s+([A-Z])"  # before the separator is looked for, such an end gets a mark of its own
 CLASS_FORMS = (r"(?i)\bclass ?[\"'“”‘’]?([a-z0-9]{1,3})\b", r"(?i)\b([b-z0-9][a-z0-9]{0,2}|a[a-z0-9]{1,2})[- ]class\b", r"(?i)\b([bcdefg][12]?|dz|az|cz|bz|[1-6]) driver")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from harborline.functions import licences as L
 from harborline.functions.requirements import OPTIONAL, requirement_lines
+from harborline.functions.text import mentions, once
 from harborline.plans import descriptions as D
 from harborline.plans.registry import query
 from harborline.plans.sql import has_phrase, quote
@@ -50,5 +51,6 @@ def licences_required(spark, sf_dir):
     """The licences that each document's lines require, without those that another one says more of."""
     block = F.element_at(F.array(*map(F.lit, BLOCKS)), (F.col("doc_id") % len(BLOCKS) + 1).cast("int"))
     texts = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), block).alias("description"))
-    found = requirement_lines(texts, "doc_id", "description").select("doc_id", L.licence_labels(F.col("section"), F.col("text")).alias("labels")).filter(F.size("labels") > 0)
+    lines = requirement_lines(texts, "doc_id", "description").filter(mentions(F.col("text"), L.STEMS))
+    found = lines.select("doc_id", once(L.licence_labels(F.col("section"), F.col("text"))).alias("labels")).filter(F.size("labels") > 0)
     return found.groupBy("doc_id").agg(L.without_weaker(F.flatten(F.collect_list("labels"))).alias("labels")).select("doc_id", F.array_join("labels", "; ").alias("licences"))
