@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from harborline.functions import education as E
 from harborline.functions.requirements import requirement_lines
+from harborline.functions.text import once
 from harborline.plans import descriptions as D
 from harborline.plans.registry import query
 from harborline.plans.sql import flat, has_phrase, quote
@@ -74,7 +75,7 @@ FOUND = found_sql(described(BLOCKS))
 def required(texts):
     """(doc_id, lines, labels): how many lines require education, and the labels that no other one implies, in order."""
     lines = requirement_lines(texts, "doc_id", "description")
-    found = lines.select("doc_id", "line", E.education(F.col("section"), F.col("text")).alias("e")).filter("e.label <> ''")
+    found = lines.select("doc_id", "line", once(E.education(F.col("section"), F.col("text"))).alias("e")).filter("e.label <> ''")
     rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "e"))).alias("rows"))
     return rows.select("doc_id", F.size("rows").cast("long").alias("lines"), E.without_implied(F.transform("rows", lambda r: r["e"])).alias("labels"))
 
