@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from harborline.functions import details as T
 from harborline.functions.requirements import NUMBERS
 from harborline.functions.terms import NO_UNION, NO_UNION_START
+from harborline.functions.text import once
 from harborline.plans import education as E
 from harborline.plans.registry import query
 from harborline.plans.sql import flat, has_phrase, plain, quote
@@ -83,9 +84,10 @@ FROM r LEFT JOIN learnt USING (doc_id) LEFT JOIN xs USING (doc_id) LEFT JOIN us
 def rows(spark, sf_dir):
     """A stored row for each text: labelled fields as they stand, education from the lines that require it."""
     texts = E.descriptions(spark, sf_dir, BLOCKS)
-    field = lambda name: F.nullif(F.regexp_extract("description", f"(?m)^{name}: (.*)$", 1), F.lit(""))
+    labelled = F.filter(F.split("description", r"\r\n|[\n\r\x{0085}\x{2028}\x{2029}]"), lambda x: x.rlike(f"^(?:{'|'.join((*TEXTS, *FLAGS))}): "))
+    field = lambda name: F.nullif(F.regexp_extract("labelled", f"(?m)^{name}: (.*)$", 1), F.lit(""))
     absent = ("duration", "availability", "salary_period", "language_requirements", "certification_requirements", "software_requirements", "medical_requirements", "required_skills")
-    stored = texts.select("doc_id", "description", *(field(x).alias(x) for x in TEXTS), *(field(x).try_cast("int").alias(x) for x in FLAGS), F.lit(None).cast("int").alias("security_check_required"), F.lit(None).cast("double").alias("salary_min"), F.lit(None).cast("double").alias("salary_max"), *(F.lit(None).cast("string").alias(x) for x in absent))
+    stored = texts.withColumn("labelled", once(F.array_join(labelled, "\n"))).select("doc_id", "description", *(field(x).alias(x) for x in TEXTS), *(field(x).try_cast("int").alias(x) for x in FLAGS), F.lit(None).cast("int").alias("security_check_required"), F.lit(None).cast("double").alias("salary_min"), F.lit(None).cast("double").alias("salary_max"), *(F.lit(None).cast("string").alias(x) for x in absent))
     return stored.join(E.required(texts).select("doc_id", F.to_json("labels").alias("education_requirements")), "doc_id", "left")
 
 
