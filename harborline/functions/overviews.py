@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harborline.functions.cleanup import strip
-from harborline.functions.text import collapse, has_phrase, let, plain_words
+from harborline.functions.text import collapse, has_phrase, let, mentions, plain_words, stems
 
 # Fixed phrases, as words.
 TOWN = (
@@ -46,31 +46,36 @@ def _holds(low: Column, phrases) -> Column:
 
 
 def _names_title(sentence: Column, title: Column) -> Column:
-    low = F.lower(sentence)
-    return (F.length(title["core"]) >= TITLE) & (F.contains(low, title["core"]) | ((F.length(title["head"]) >= HEAD) & F.contains(low, title["head"])))
+    named = lambda low: F.contains(low, title["core"]) | ((F.length(title["head"]) >= HEAD) & F.contains(low, title["head"]))
+    return (F.length(title["core"]) >= TITLE) & let(F.lower(sentence), named)
+
+
+#: What a sentence on the town mentions.
+TOWN_STEMS = stems(TOWN, ("population", "community"))
 
 
 def _advertises(sentence: Column) -> Column:
-    words = plain_words(sentence)
-    return (has_phrase(words, TOWN) | words.rlike(TOWN_NUMBERS)) & ~has_phrase(words, WORK)
+    town = lambda words: (has_phrase(words, TOWN) | words.rlike(TOWN_NUMBERS)) & ~has_phrase(words, WORK)
+    return mentions(sentence, TOWN_STEMS) & let(plain_words(sentence), town)
 
 
 def is_advertisement(paragraph: Column, title: Column) -> Column:
-    """Whether half of the sentences, one at least, advertise and none is on the work. ``title``: struct<core, head>."""
+    """Whether half of the sentences, one at least, advertise and none is on the work. ``title``: struct<core, head>.
+    Most paragraphs don't mention a town, so they don't fall into sentences here."""
 
     def judged(all_of: Column) -> Column:
-        hits = F.size(F.filter(all_of, _advertises))
-        return (hits > 0) & (2 * hits >= F.size(all_of)) & ~F.exists(all_of, lambda s: _names_title(s, title) | has_phrase(plain_words(s), WORK))
+        half = let(F.size(F.filter(all_of, _advertises)), lambda hits: (hits > 0) & (2 * hits >= F.size(all_of)))
+        return half & ~F.exists(all_of, lambda s: _names_title(s, title) | has_phrase(plain_words(s), WORK))
 
-    return let(sentences(paragraph), judged)
+    return mentions(paragraph, TOWN_STEMS) & let(sentences(paragraph), judged)
 
 
 def _from_the_work_on(paragraph: Column, title: Column) -> Column:
     """From the first sentence that names the title on, or without leading advertisements where none does; an opener goes."""
 
     def cut(all_of: Column) -> Column:
-        named = F.array_position(F.transform(all_of, lambda s: _names_title(s, title)), True)
-        other = F.array_position(F.transform(all_of, lambda s: ~_advertises(s)), True)
+        named = F.when(_names_title(paragraph, title), F.array_position(F.transform(all_of, lambda s: _names_title(s, title)), True))
+        other = F.when(mentions(paragraph, TOWN_STEMS), F.array_position(F.transform(all_of, lambda s: ~_advertises(s)), True)).otherwise(1)
         start = F.when(named > 0, named).otherwise(other)
         rest = F.array_join(F.slice(all_of, F.greatest(start, F.lit(1)).cast("int"), F.size(all_of) + 1), " ")
         return F.when((F.size(all_of) == 0) | (start == 0), strip(paragraph)).otherwise(strip(F.regexp_replace(rest, OPENER, "")))

@@ -46,3 +46,15 @@ def test_repeats_make_keys_once(spark):
     df = spark.createDataFrame([("- A\n- a.\nb\n\n- c\n* A",)], "t string").select(sections.without_repeats(F.col("t")).alias("t"))
     assert df.first()["t"] == "- A\nb\n\n- c"
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_paragraphs_without_a_town_end_early(spark):
+    """Advertisements are only looked for where a town is mentioned."""
+    from harborline.functions import overviews
+
+    title = F.struct(F.lit("plant operator").alias("core"), F.lit("plant operator").alias("head"))
+    given = [("A vibrant city. We hire.", True), ("A vibrant city. You will see.", False), ("A vibrant city. A plant operator is here.", False), ("We hire. Apply.", False), ("The population of 50 lives. It is so.", True)]
+    df = spark.createDataFrame(given, "p string, want boolean").select(overviews.is_advertisement(F.col("p"), title).alias("ad"), "want")
+    assert [r for r in df.collect() if r["ad"] != r["want"]] == []
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("vibrant") < plan.index("split(")
