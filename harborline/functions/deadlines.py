@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harborline.functions.dates import normalize_date
-from harborline.functions.text import collapse, has_phrase, let, plain_words
+from harborline.functions.text import collapse, has_phrase, let, mentions, plain_words
 
 MONTH = "(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec)"
 WEEKDAY = r"(?:(?:mon|tues|tue|wednes|wed|thurs|thu|fri|satur|sat|sun)(?:day)?\.?,? )?"
@@ -53,6 +53,32 @@ FAMILIES = (
 REACH = 170
 ALL_LABELS = tuple(sorted({x for labels, _, _ in FAMILIES for x in labels}, key=lambda x: (-len(x), x)))
 LABEL = r"(?i)\b(?:" + "|".join(map(re.escape, ALL_LABELS)) + r")\b"
+
+
+def _tree(phrases) -> str:
+    """A pattern for any of the phrases, the longest first, that reads what several begin with once."""
+    root: dict = {}
+    for p in phrases:
+        node = root
+        for c in p:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [re.escape(c) + pattern(below) for c, below in node.items() if c]
+        return f"(?:{'|'.join(parts)}){'?' if '' in node else ''}" if parts else ""
+
+    return pattern(root)
+
+
+def _quick(alternatives: str) -> str:
+    return _tree(alternatives.split("|"))
+
+
+# The same matches as ``LABEL`` and ``DATE`` give; most places in a text end at their first character.
+QUICK_LABEL = rf"(?i)\b(?=[{''.join(sorted({x[0] for x in ALL_LABELS}))}]){_tree(ALL_LABELS)}\b"
+_DAYS = "mon|tues|tue|wednes|wed|thurs|thu|fri|satur|sat|sun"
+QUICK_DATE = DATE.replace(MONTH, _quick(MONTH[3:-1])).replace(f"(?:{_DAYS})", _quick(_DAYS)).replace(r"\b", r"\b(?=[0-9jfmasondtw])", 1)
 # Fixed phrases of postings without a date, as words.
 OPEN = (
     *_spelt(("until",), ("", "position is", "positions are", "position are", "positions is", "all positions are", "all position is", "the position is", "the position has been", "it is", "it has been"), ("filled",)),
@@ -60,6 +86,7 @@ OPEN = (
     *_spelt(("open until", "ongoing until"), ("", "a"), ("suitable candidate found",)), *_spelt(("open until",), ("", "all"), ("vacancies are", "roles are", "role is", "job is", "jobs are"), ("filled",)),
     *_spelt(("closing date", "external date", "job date", "posting date", "posting end date"), ("ongoing",)),
 )
+OPEN_ENDS = tuple(dict.fromkeys(p.split(" ")[-1] for p in OPEN))
 NO_DATE = (
     *_spelt(("no", "without"), ("", "application", "closing", "application closing"), ("deadline",)), *_spelt(("no", "without"), ("closing", "application"), ("date",)),
     *_spelt(("deadline",), ("", "is"), ("not listed", "not specified", "unavailable")),
@@ -125,8 +152,8 @@ def _closing_date(t: Column, as_of: Column) -> Column:
     def first(found: Column) -> Column:
         return F.coalesce(*(F.get(F.filter(found, _fits(*family)), F.lit(0))["date"] for family in FAMILIES))
 
-    dates = F.transform(matches(t, DATE), lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), text_date(m["text"], as_of, 5).alias("date")))
-    return let(F.struct(t.alias("t"), dates.alias("dates"), matches(t, LABEL).alias("labels")), lambda v: let(pairs(v), first))
+    dates = F.transform(matches(t, QUICK_DATE), lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), text_date(m["text"], as_of, 5).alias("date")))
+    return let(F.struct(t.alias("t"), dates.alias("dates"), matches(t, QUICK_LABEL).alias("labels")), lambda v: let(pairs(v), first))
 
 
 def closing(text: Column, as_of: Column) -> Column:
@@ -135,8 +162,8 @@ def closing(text: Column, as_of: Column) -> Column:
 
     def judged(t: Column) -> Column:
         words = plain_words(t)
-        bad = F.exists(matches(t, LABEL), lambda m: F.substring(t, m["end"] + 1, F.lit(80)).rlike(INVALID))
-        status = lambda date: F.when(date.isNotNull(), "known").when(t == "", "not_checked").when(has_phrase(words, OPEN), "open_until_filled").when(has_phrase(words, NO_DATE), "not_listed").when(bad, "invalid").otherwise("not_checked")
+        bad = F.exists(matches(t, QUICK_LABEL), lambda m: F.substring(t, m["end"] + 1, F.lit(80)).rlike(INVALID))
+        status = lambda date: F.when(date.isNotNull(), "known").when(t == "", "not_checked").when(mentions(t, OPEN_ENDS) & has_phrase(words, OPEN), "open_until_filled").when(has_phrase(words, NO_DATE), "not_listed").when(bad, "invalid").otherwise("not_checked")
         return let(F.struct(_closing_date(t, as_of).alias("date")), lambda x: F.struct(x["date"].alias("date"), status(x["date"]).alias("status")))
 
     return let(collapse(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{200B}-\x{200D}\x{FEFF}]", "")), judged)

@@ -58,3 +58,16 @@ def test_paragraphs_without_a_town_end_early(spark):
     assert [r for r in df.collect() if r["ad"] != r["want"]] == []
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("vibrant") < plan.index("split(")
+
+
+def test_quick_patterns_match_the_same():
+    """The patterns with common beginnings find what the lists of alternatives find."""
+    import re
+
+    from harborline.functions import deadlines as D
+
+    text = "Closing date: Thurs. Sept. 9, 2026; apply before sept 3 or Wednesday 2026-1-2, 5-mar-2026; deadlines, deadline to apply by Mayor 3, May 3. " + " x ".join(D.ALL_LABELS) + " Jan 1 januar 5 monday, 3/4/21 decoy 12"
+    for quick, plain in ((D.QUICK_LABEL, D.LABEL), (D.QUICK_DATE, D.DATE)):
+        found = [m.span() for m in re.finditer(plain, text)]
+        assert found and [m.span() for m in re.finditer(quick, text)] == found
+        assert quick.startswith(r"(?i)\b(?=[")
