@@ -31,9 +31,8 @@ ISSUE = "struct<field:string,kind:string,entries:int>"
 
 def _given(v: Column, field: str) -> Column:
     """A scalar as text; null for placeholders, objects and arrays."""
-    value = F.try_variant_get(v, f"$.{field}", "variant")
-    scalar = ~F.schema_of_variant(value).rlike("^(?:ARRAY|OBJECT)")
-    return F.when(scalar, text.placeholder_to_null(value.cast("string")))
+    scalar = lambda x: ~F.schema_of_variant(x).rlike("^(?:ARRAY|OBJECT)")
+    return let(F.try_variant_get(v, f"$.{field}", "variant"), lambda x: F.when(scalar(x), let(x.cast("string"), text.placeholder_to_null)))
 
 
 def _entries(v: Column, field: str) -> Column:
@@ -83,8 +82,8 @@ def validated(df: DataFrame, key: str, captured: str, tags: tuple[str, ...], as_
     stay), ``missing`` (the title) and ``row`` / ``unreadable`` (no JSON object). Null and empty text is no
     object. Other columns are ignored; equal keys are judged apart.
     """
-    v = F.try_parse_json(F.col(captured))
-    rows = df.select(F.col(key), F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v).alias("_v"))
+    rows = df.select(F.col(key), text.once(F.try_parse_json(F.col(captured))).alias("_v"))
+    rows = rows.select(key, text.once(F.when(F.startswith(F.schema_of_variant(F.col("_v")), F.lit("OBJECT")), F.col("_v"))).alias("_v"))
     rows = rows.select(key, F.col("_v").isNotNull().alias("is_object"), *(_given(F.col("_v"), f).alias(f"{f}_given") for f in SCALARS), *(_entries(F.col("_v"), f).alias(f"{f}_given") for f in LISTS))
 
     given = lambda f: F.col(f"{f}_given")

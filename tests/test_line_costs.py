@@ -71,3 +71,15 @@ def test_quick_patterns_match_the_same():
         found = [m.span() for m in re.finditer(plain, text)]
         assert found and [m.span() for m in re.finditer(quick, text)] == found
         assert quick.startswith(r"(?i)\b(?=[")
+
+
+def test_rows_are_parsed_once(spark):
+    from harborline.functions import titles, validation
+
+    df = spark.createDataFrame([(1, '{"job_title": " Clerk ", "hours": "N/A", "benefits": ["a", 1]}'), (2, "[1]")], "k int, c string")
+    checked = validation.validated(df, "k", "c", (), F.lit("2026-01-01").cast("date"))
+    rows = validation.accepted_rows(checked, "k").select("k", "job_title", "hours", "benefits")
+    assert [tuple(r) for r in rows.collect()] == [(1, "Clerk", None, ["a"])]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") + rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    title = df.select(titles._without_first_kind(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert title.count("[-\\s]+") < len(titles.OPENERS)  # not once a phrase
