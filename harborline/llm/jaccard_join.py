@@ -12,8 +12,9 @@ cut by projections that lose no link, and pivots and the triangle inequality wor
 * By the triangle inequality nodes beyond twice the radius of a pivot have no link into its Voronoi cell. So
   the cell, with the boundary nodes within twice the radius, is one region of the next round, and all
   outside the cell, boundary nodes included, the other. Regions of a single component are done.
+* Regions with one least component become one where that has fewer pairs: near copies meet in hundreds of regions.
 * Small regions, and large cells in blocks, compare sketches across components in one task each: first every
-  node measures its nearest other, then what is still apart all pairs that finer sketches allow. A
+  node measures its nearest other, then what is still apart all pairs that the sketches allow. A
   large outer region goes into the next round, by other pivots if this one's cell took a good part of it,
   or else by a new projection, and after ``LEVELS`` rounds it is compared in blocks, too.
 """
@@ -167,7 +168,7 @@ def _project(shingle: int, seed: int):
     return run
 
 
-NEAR = "node long, n int, coarse binary, middle binary, fine binary, text string"
+NEAR = "node long, n int, fine binary, text string"
 
 
 def sketches(v: np.ndarray, at: np.ndarray, times: int) -> list[bytes]:
@@ -195,7 +196,7 @@ def _folded(raw: bytes, words: int) -> np.ndarray:
 def _look(shingle: int):
     def run(batches):
         for b, v, at in _sets(batches, shingle):
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(np.diff(at).astype(np.int32)), *(pa.array(sketches(v, at, k), pa.binary()) for k in (1, 4, 8)), b.column("text")], names=[c.split()[0] for c in NEAR.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(np.diff(at).astype(np.int32)), pa.array(sketches(v, at, 8), pa.binary()), b.column("text")], names=[c.split()[0] for c in NEAR.split(", ")])
 
     return run
 
@@ -272,18 +273,28 @@ def _compare(nearest: bool):
 
 
 def _compared(near: DataFrame, rows: DataFrame, nearest: bool) -> DataFrame:
-    """(a, b): what regions (region, node, label, size), cut into blocks where they are large, have to measure."""
+    """(a, b): what regions (region, node, label, size, low), cut into blocks where they are large, have to measure."""
+    rows = stored(_merged(rows), "merged")
     small = F.col("size") <= SMALL
     rows = rows.filter(small).select("region", "node", "label").union(_blocks(rows.filter(~small)))
-    sketch = F.col("coarse" if nearest else "middle").alias("sketch")
-    member = F.struct("node", "label", "n", "sketch")
-    lists = rows.join(near.select("node", "n", sketch), "node").groupBy("region").agg(F.collect_list(member).alias("nodes"))  # about SMALL nodes
+    member = F.struct("node", "label", "n", F.col("fine").alias("sketch"))
+    lists = rows.join(near.select("node", "n", "fine"), "node").groupBy("region").agg(F.collect_list(member).alias("nodes"))  # about SMALL nodes
     pairs = lists.select("nodes").mapInArrow(_compare(nearest), "a long, b long, least long")
     if nearest:
         return pairs.groupBy("a").agg(F.min_by("b", "least").alias("b"))
     return pairs.select("a", "b").distinct()
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Regions (region, node, label, size, low) with one least component ``low`` as one region, where that has no more
+    pairs than they have together. Near copies agree on most of their parts, so they would meet again in as many regions."""
+    union = rows.select("low", "node", "label").distinct()
+    sizes = union.groupBy("low").agg(F.count("*").alias("all")).join(rows.groupBy("low").agg(F.sum("size").alias("pairs")), "low")
+    one = sizes.filter("all * all <= pairs").select("low", F.col("all").alias("size"))
+    merged = union.join(one, "low").select(F.xxhash64("low", F.lit("merged")).alias("region"), "node", "label", "size")
+    return merged.union(rows.join(one.select("low"), "low", "left_anti").select("region", "node", "label", "size"))
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """Large regions (region, node, label, size) as pairs of blocks, so that any two nodes meet in one."""
     blocks = F.ceil(F.col("size") * 2 / SMALL)
@@ -307,10 +318,10 @@ def _labels(links: list[DataFrame]) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """``rows`` (region, side, node, label, boundary) of regions with several components, with their sizes and how
-    many boundary nodes they have."""
+    """``rows`` (region, side, node, label, boundary) of regions with several components, with their sizes, how
+    many boundary nodes they have and their least component ``low``."""
     by = rows.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("boundary").alias("boundaries"))
-    return rows.join(by.filter("low < high").drop("low", "high"), "region")
+    return rows.join(by.filter("low < high").drop("high"), "region")
 
 
 def _round(near: DataFrame, regions: DataFrame, links: list[DataFrame], shingle: int, level: int):
@@ -335,10 +346,9 @@ def _round(near: DataFrame, regions: DataFrame, links: list[DataFrame], shingle:
     now, rest = rows.filter(~large), rows.filter(large)
     links.append(stored(_linked(near, _compared(near, now, True), shingle), "links"))
     label = stored(_labels(links), "labels").withColumnRenamed("component", "label")
-    again = now.drop("label", "size", "boundaries").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    again = now.drop("label", "size", "boundaries", "low").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     candidates = stored(_compared(near, _open(again), False), "candidates")
-    close = stored(_bounded(near, candidates).filter("reach = 1").select("a", "b"), "close")
-    links.append(stored(_linked(near, close, shingle), "links"))
+    links.append(stored(_linked(near, candidates, shingle), "links"))
     if rest.isEmpty():
         return None
     # where the pivot saw next to nothing near it, a new projection takes the region apart; else other pivots do
