@@ -52,6 +52,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for t in tables:
+        if hasattr(t, "_stored_as"):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._stored_as}")
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 

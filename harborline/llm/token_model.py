@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import flat_text, input_bytes, new_path, stored
+from harborline.llm.common import discard, flat_text, input_bytes, new_path, stored
 from harborline.llm.hashing import U, mix
 from harborline.llm.tokens import END_ID, encoder
 
@@ -26,7 +26,7 @@ START = 0xFFFF
 BLOCK_BYTES = 8 << 20
 #: Languages that a task holds back at a time.
 LANGUAGES = 16
-#: Tokens that are scored at a time.
+#: Trigrams that are scored at a time.
 SLICE = 1 << 18
 #: Tokens of a span that is scored as one.
 SPAN = 64
@@ -77,9 +77,36 @@ def _write_blocks(row_type: pa.DataType):
     return run
 
 
+def _different(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and the place of each value among them; values are below 2**bits. Numbers are
+    sorted many times as fast as places, so each carries its place along where there is room."""
+    size = len(values).bit_length()
+    if bits + size > 64:
+        return np.unique(values, return_inverse=True)
+    s = np.sort(values << U(size) | np.arange(len(values), dtype=U))
+    v, at = s >> U(size), np.empty(len(s), np.int64)
+    new = np.ones(len(s), bool)
+    new[1:] = v[1:] != v[:-1]
+    at[(s & U((1 << size) - 1)).view(np.int64)] = np.cumsum(new) - 1
+    return v[new], at
+
+
+def _part(pair: np.ndarray, parts: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(pair) % U(parts)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs as numbers in the order of their parts, and the place of each pair among them."""
+    pair, at = _different(a.astype(U) << U(16) | b, 32)
+    order = np.argsort(_part(pair, parts) << U(32) | pair)
+    place = np.empty(len(pair), np.int64)
+    place[order] = np.arange(len(pair))
+    return pair[order], place[at]
+
+
 class _Grams:
-    """A block's tokens with the two before each, and its different trigrams as ``keys`` in the order of
-    their parts: (a, b, c) as one number, where the part depends on a and b only."""
+    """A block's tokens ``w`` with the two before each, ``u`` and ``v``."""
 
     def __init__(self, tokens: bytes, length: np.ndarray):
         self.w = _unpack(tokens, "<u2").astype(np.uint32)
@@ -89,23 +116,26 @@ class _Grams:
         self.u[self.first[length > 1] + 1] = START
 
     def ask(self, backward: bool, parts: int):
+        """Sets ``keys``, the different trigrams (a, b, c) as numbers in the order of their parts, where the part depends
+        on a and b only, ``cut``, where each part begins, and ``n``, how often each occurs."""
         a, b, c = (self.v, self.w, self.u) if backward else (self.u, self.v, self.w)
-        key = a.astype(np.uint64) << U(32) | b.astype(np.uint64) << U(16) | c
-        with np.errstate(over="ignore"):
-            key |= (mix(key >> U(16)) % U(parts)) << U(48)
-        order = np.argsort(key)
-        s = key[order]
-        new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
-        self.at = np.empty(len(s), np.int32)  # the trigram of each token
-        self.at[order] = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
+        pair = a.astype(U) << U(16) | b
+        s = np.sort(_part(pair, parts) << U(48) | pair << U(16) | c)
+        starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
         keys, self.n = s[starts], np.diff(np.concatenate((starts, [len(s)])))
-        self.cut = np.searchsorted(keys >> U(48), np.arange(parts + 1, dtype=np.uint64))
+        self.cut = np.searchsorted(keys >> U(48), np.arange(parts + 1, dtype=U))
         self.keys = keys & U((1 << 48) - 1)
-        context = keys >> U(16)
-        self.context = np.cumsum(np.concatenate(([True], context[1:] != context[:-1]))).astype(np.int32) - 1 if len(s) else np.zeros(0, np.int32)
         return self
 
+    def different(self, parts: int):
+        """(at, context, v, w, before): the trigram of each token among the different ones in the order of ``ask``,
+        and of each of these its context's place, its last two tokens, and their pair's place backward."""
+        pair, of = _pairs(self.u, self.v, parts)
+        grams, at = _different(of.view(U) << U(16) | self.w, 16 + len(pair).bit_length())
+        context = (grams >> U(16)).view(np.int64)
+        v, w = (pair[context] & U(0xFFFF)).view(np.int64), (grams & U(0xFFFF)).view(np.int64)
+        return at, context, v, w, _pairs(v, w.view(U), parts)[1]
+
 
 def _rows(batches):
     for b in batches:
@@ -120,7 +150,7 @@ def _ask(backward: bool, parts: int):
             g.ask(backward, parts)
             some = [(p, a, z) for p, (a, z) in enumerate(zip(g.cut, g.cut[1:])) if z > a]
             keys = [_pack(np.diff(g.keys[a:z], prepend=U(0)).astype("<u8")) for _, a, z in some]
-            n = [_pack(g.n[a:z].astype("<u4")) for _, a, z in some]
+            n = [None if backward else _pack(g.n[a:z].astype("<u4")) for _, a, z in some]
             yield pa.RecordBatch.from_arrays([pa.array([row.column("lang")[0].as_py()] * len(some), pa.string()), pa.array([p for p, *_ in some], pa.int32()), pa.array([row.column("block")[0].as_py()] * len(some), pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], names=[c.split()[0] for c in ASKED.split(", ")])
 
     return run
@@ -210,7 +240,7 @@ class Language:
         return -np.log2(a3 + b3 * (a2 + b2 * (a1 + b1 / self.vocabulary)))
 
 
-def _answer(row, name: str, g: _Grams, numbers: int):
+def _answer(row, name: str, numbers: int):
     """A round's answers in the order of the block's trigrams: their counts, and ``numbers`` arrays by context."""
     got = row.column(name).flatten()
     by = np.argsort(got.field("part").to_numpy())
@@ -234,16 +264,14 @@ class Models:
 
 
 def token_bits(row, models: Models, parts: int) -> tuple[_Grams, np.ndarray]:
-    """The block of a row with both answers, and the bits of each of its tokens."""
-    g = _Grams(row.column("tokens")[0].as_py(), row.column("length").flatten().to_numpy()).ask(False, parts)
-    (counts, contexts), at, context_at = _answer(row, "forward", g, 4), g.at, g.context
-    g.ask(True, parts)
-    before, model = _answer(row, "backward", g, 1)[1][0], models[row.column("lang")[0].as_py()]
-    bits = np.empty(len(g.w))
+    """The block of a row with both answers, and the bits of each of its tokens, which are those of its trigram."""
+    g = _Grams(row.column("tokens")[0].as_py(), row.column("length").flatten().to_numpy())
+    at, context, v, w, pair = g.different(parts)
+    (counts, contexts), before = _answer(row, "forward", 4), _answer(row, "backward", 1)[1][0]
+    model, bits = models[row.column("lang")[0].as_py()], np.empty(len(v))
     for some in (slice(i, i + SLICE) for i in range(0, len(bits), SLICE)):
-        k = at[some]
-        bits[some] = model.bits(g.v[some], g.w[some], counts[k].astype(np.int64), contexts[:, context_at[k]].astype(np.int64), before[g.context[g.at[some]]].astype(np.int64))
-    return g, bits
+        bits[some] = model.bits(v[some], w[some], counts[some].astype(np.int64), contexts[:, context[some]].astype(np.int64), before[pair[some]].astype(np.int64))
+    return g, bits[at]
 
 
 def _score(sent, parts: int):
@@ -281,16 +309,18 @@ def answered_blocks(docs: DataFrame, rows: str, judge=lambda batches: batches):
     name = f"token_blocks_{path[-32:]}"
     made.write.option("compression", "zstd").option("path", path).bucketBy(int(min(buckets, 100_000)), "block").format("parquet").saveAsTable(name)
     blocks = spark.table(name)
+    blocks._stored_at, blocks._stored_as = path, name
 
-    own, sums = blocks.select("block", "lang", "length", "tokens"), []
+    own, sums, tables = blocks.select("block", "lang", "length", "tokens"), [], []
     answered = own
     for backward, label in ((False, "forward"), (True, "backward")):
         asked = own.mapInArrow(_ask(backward, int(parts)), ASKED)
         got = stored(asked.groupBy("lang", "part").applyInArrow(_count(backward), ANSWERED), label)
+        tables.append(got)
         sums.append({r["lang"]: r["counts"] for r in got.filter("block = -1").groupBy("lang").applyInArrow(_add, "lang string, counts binary").collect()})  # a row a language
         by = got.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "contexts")).alias(label))
         answered = answered.join(by.hint("shuffle_hash"), "block")
-    vocabulary = len(encoder().bytes_of)
+    answered._tables, vocabulary = tables, len(encoder().bytes_of)
     return blocks, answered, Models({lang: (sums[0][lang], sums[1][lang]) for lang in sums[0]}, vocabulary), int(parts)
 
 
@@ -299,4 +329,6 @@ def span_scores(docs: DataFrame, rows: str, judge) -> tuple[DataFrame, DataFrame
     tokens or up to twice as many that share all tokens evenly, and the number of spans."""
     blocks, answered, models, parts = answered_blocks(docs, rows, judge)
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    return blocks, stored(answered.mapInArrow(_score(sent, parts), SPANS), "token-scores")
+    scores = stored(answered.mapInArrow(_score(sent, parts), SPANS), "token-scores")
+    discard(*answered._tables)
+    return blocks, scores
