@@ -5,14 +5,13 @@ levels at or above them, kept as bits: one line implies another if whatever suff
 """
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harborline.functions.requirements import OPTIONAL, line_words
-from harborline.functions.text import any_of, collapse, has_phrase, let
+from harborline.functions.text import any_of, branching, collapse, has_phrase, let, mentions, stems
 
 # Levels, what each of them includes directly, and phrases (see ``line_words``) that name them.
 LEVELS = (
@@ -88,6 +87,12 @@ STEPS = (
     (r"(?:[;,.:*( –—-]| (?i:with|and|or)\b[;,.]?)+$", ""),
 )
 
+#: What a line must mention, for ``mentions``, so that a step's pattern can match; patterns without an entry cost little.
+STEMS = {
+    ASIDES[3][0]: stems(REST), STEPS[0][0]: ("combination",), STEPS[1][0]: stems(OBTAINED), STEPS[2][0]: ("specialization",), STEPS[3][0]: ("experience",), STEPS[4][0]: stems(PAPERS),
+    STEPS[5][0]: stems(REGISTERED), STEPS[6][0]: stems(EQUALS),
+}
+
 
 def suffices() -> dict[str, int]:
     """For each level the bits of the levels that suffice for it: its own and those that include it, however indirectly."""
@@ -100,7 +105,11 @@ def suffices() -> dict[str, int]:
 
 
 def _changed(c: Column, steps) -> Column:
-    return collapse(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1].replace("\\", "$")), steps, c))
+    def step(x: Column, s) -> Column:
+        replaced = lambda v: F.regexp_replace(v, s[0], s[1].replace("\\", "$"))
+        return let(x, lambda v: F.when(mentions(v, STEMS[s[0]]), replaced(v)).otherwise(v)) if s[0] in STEMS else replaced(x)
+
+    return collapse(reduce(step, steps, c))
 
 
 def _bits(words: Column) -> Column:
@@ -113,11 +122,13 @@ def _bits(words: Column) -> Column:
 
 def _school(text: Column, words: Column) -> Column:
     """Label of a line that names a high school."""
-    n = F.lower(F.regexp_extract(text, SCHOOL_YEARS, 1))
-    number = reduce(lambda c, i: c.when(n == YEARS[i], str(i + 1)), range(len(YEARS)), F.when(n == "", None)).otherwise(n)
+    def lasting(n: Column) -> Column:
+        number = reduce(lambda c, i: c.when(n == YEARS[i], str(i + 1)), range(len(YEARS)), F.when(n == "", None)).otherwise(n)
+        return let(number, lambda k: F.concat(k, F.lit(" year"), F.when(k == "1", "").otherwise("s"), F.lit(" of high school")))
+
     field = F.regexp_extract(F.regexp_replace(text, r"(?i),? or equivalent[.;, ]*$", ""), FIELD, 1)
-    plus = F.when(field != "", F.concat(F.lit("High school diploma plus program in "), F.regexp_replace(field, "[.;, ]+$", ""))).otherwise("High school diploma plus related program")
-    years = F.concat(number, F.lit(" year"), F.when(number == "1", "").otherwise("s"), F.lit(" of high school"))
+    plus = let(field, lambda f: F.when(f != "", F.concat(F.lit("High school diploma plus program in "), F.regexp_replace(f, "[.;, ]+$", ""))).otherwise("High school diploma plus related program"))
+    years = let(F.lower(F.regexp_extract(text, SCHOOL_YEARS, 1)), lasting)
     partial = F.when(has_phrase(words, ("partial high school", "partial secondary school")), "Partial high school")
     return F.when(text.rlike(PLUS_PROGRAM), plus).otherwise(F.coalesce(years, partial, F.when(has_phrase(words, ("personal support worker",)), "High school diploma and Personal Support Worker certificate"), F.lit("High school diploma")))
 
@@ -125,6 +136,11 @@ def _school(text: Column, words: Column) -> Column:
 def education_label(text: Column) -> Column:
     """struct<label, bits, field> of a stored value or of a line that requires education; the label is empty where
     nothing is left. Labels are their own labels."""
+    return let(_changed(F.coalesce(text, F.lit("")), ASIDES), _labelled)
+
+
+def _labelled(text: Column) -> Column:
+    """``education_label`` of a text without its asides."""
 
     def prose(t: Column) -> Column:
         return let(_changed(t, STEPS), lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30)))
@@ -133,17 +149,14 @@ def education_label(text: Column) -> Column:
         first = F.trim(F.get(F.split(s, "[.;]"), F.lit(0)))
         return F.when((F.length(s) > 160) & (F.length(first) >= 12), first).otherwise(s)
 
-    def judged(t: Column) -> Column:
-        def label(words: Column) -> Column:
-            school = has_phrase(words, LEVELS[0][2] + LEVELS[1][2])
-            proof = has_phrase(words, VERIFICATION) | has_phrase(words, ("education verification",))
-            text_of = F.when(proof, "Education verification").when(school, _school(t, words)).otherwise(let(prose(t), short))
-            bits = F.when(proof, 0).when(school & words.contains(" year"), suffices()["some_high_school"]).when(has_phrase(words, LEVELS[0][2]), suffices()["some_high_school"]).when(school, suffices()["high_school"]).otherwise(_bits(words))
-            return let(text_of, lambda s: F.struct(s.alias("label"), bits.alias("bits"), F.lower(F.regexp_extract(s, FIELD, 1)).alias("field")))
-
-        return let(line_words(F.regexp_replace(t, SCHOOL_DIPLOMA, "$1 school")), label)
+    def label(words: Column) -> Column:
+        school = has_phrase(words, LEVELS[0][2] + LEVELS[1][2])
+        proof = has_phrase(words, VERIFICATION) | has_phrase(words, ("education verification",))
+        text_of = F.when(proof, "Education verification").when(school, _school(text, words)).otherwise(let(prose(text), short))
+        bits = F.when(proof, 0).when(school & words.contains(" year"), suffices()["some_high_school"]).when(has_phrase(words, LEVELS[0][2]), suffices()["some_high_school"]).when(school, suffices()["high_school"]).otherwise(_bits(words))
+        return let(text_of, lambda s: F.struct(s.alias("label"), bits.alias("bits"), F.lower(F.regexp_extract(s, FIELD, 1)).alias("field")))
 
-    return let(_changed(F.coalesce(text, F.lit("")), ASIDES), judged)
+    return let(line_words(F.regexp_replace(text, SCHOOL_DIPLOMA, "$1 school")), label)
 
 
 def education(section: Column, text: Column) -> Column:
@@ -164,8 +177,8 @@ def education(section: Column, text: Column) -> Column:
         return let(line_words(t), required)
 
     spelt = sorted({p.split(" ")[0] for _, _, phrases in LEVELS for p in phrases} | {p.split(" ")[0] for p in VERIFICATION})
-    possible = F.lower(text).rlike("(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in spelt) + ")(?![a-z0-9])")  # most lines end here
-    return F.when(~section.isin("optional", "benefits") & possible, F.when(let(_changed(text, ASIDES), judged), education_label(text)))
+    possible = F.lower(text).rlike(f"(?<![a-z0-9]){branching(spelt)}(?![a-z0-9])")  # most lines end here
+    return F.when(~section.isin("optional", "benefits") & possible, let(_changed(text, ASIDES), lambda t: F.when(judged(t), _labelled(t))))
 
 
 def without_implied(found: Column) -> Column:
