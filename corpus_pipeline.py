@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.llm.best_fit_packing import pack
-from harborline.llm.common import documents, free_name, prepare, stored
+from harborline.llm.common import documents, prepare, stored
 from harborline.llm.jaccard_join import near_duplicates
-from harborline.llm.quality_rules import quality_rules
+from harborline.llm.quality_rules import passing
 from harborline.llm.secret_scans import redact
 from harborline.llm.template_decontamination import without_leaks
 
@@ -20,8 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that pass the quality rules. Null and empty texts go; equal rows stay or go together; an empty
     table gives no rows; all columns stay, whatever their names."""
     prepare(spark)
-    name = free_name(docs, "quality")
-    return quality_rules(docs, verdict=name).filter(F.col(name)["kept"]).drop(name)
+    return passing(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
