@@ -211,7 +211,8 @@ def _contexts(model: _Model, parts: int, texts: int):
             token = some[mine]
             u, p = k.before[token], model.word_p(words)[k.at[token]]
             size = len(k.names)
-            c, p = np.bincount(u, model.pair_c(pairs[mine] >> 1), size), np.bincount(u, p, size)
+            add = lambda x: np.bincount(u, x, size).astype(np.float64)  # noqa: E731  of nothing, bincount makes integers
+            c, p = add(model.pair_c(pairs[mine] >> 1)), add(p)
             there = np.flatnonzero(np.bincount(u, minlength=size))
             n = np.append(words, texts)[there]
             yield pa.RecordBatch.from_arrays([pa.array(k.names[there].view(np.int64)), pa.array((k.names[there] % U(parts)).astype(np.int32)), pa.array(n), pa.array(c[there]), pa.array(p[there])], names=["word", "part", "n", "c", "p"])

@@ -31,3 +31,12 @@ def test_a_singleton_is_discounted_and_not_dropped(spark):
     want, *_ = brute_katz(rows, [i == 999 for i, _ in rows], least=1)
     score = {k: katz_model.katz_scores(df, held, katz_model.Settings(least=k)).filter("doc_id = 999").first()["score"] for k in (1, 2)}
     assert np.isclose(score[1], want[-1][-1]) and score[1] > score[2]
+
+
+def test_a_block_without_a_pair_of_its_own(spark):
+    """A block of copies alone owns no pair, as those before it asked for all of them."""
+    rows = [(i, f"w{i % 40} v{i % 40}") for i in range(4200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want, *_ = brute_katz(rows, [i % 10 == 0 for i, _ in rows], least=1)
+    got = {r["doc_id"]: r["score"] for r in katz_model.katz_scores(df, F.col("doc_id") % 10 == 0).collect()}
+    assert len(got) == len(rows) and all(np.isclose(got[w[0]], w[-1]) for w in want)
