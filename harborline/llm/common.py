@@ -38,12 +38,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Options of tables with large rows: row groups of 8 MB (compressed), as a reader may hold a whole one; else their size is looked at every 100 to 10,000 rows only.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
+
+
+def stored(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: what follows doesn't recompute it,
     and a lost executor costs no more than the step at hand."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**(options or {})).option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._stored_at = path
     return again

@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm.common import crc_of_id, documents, flat_text, prepare, stored
+from harborline.llm.common import LARGE_ROWS, crc_of_id, documents, flat_text, input_bytes, prepare, stored
 from harborline.llm.hashing import U, Words, mix
 from harborline.llm.registry import query
 
 START, END = 0x5354415254, 0x454E44  # hashes of what stands before and after a text
 BLOCK_BYTES = 3 << 20
+#: Bytes of written blocks for each part of the tables, which one task holds whole, and for each task that gathers rows by part or block, however few Spark's shuffle partitions are.
+PART_BYTES = 16 << 20
 BLOCKS = "block long, doc_id array<long>, held array<boolean>, length array<int>, tokens binary, words binary"
 ASKED = "part int, block long, words binary, word_n binary, pairs binary, pair_n binary"
 ANSWERED = "part int, block long, words binary, pairs binary"
@@ -277,10 +279,13 @@ def katz_scores(docs: DataFrame, held_out, settings: Settings = Settings()) -> D
     """
     spark = docs.sparkSession
     prepare(spark)
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = stored(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held")).mapInArrow(_write_blocks, BLOCKS), "blocks")
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stored(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held")).mapInArrow(_write_blocks, BLOCKS), "blocks", LARGE_ROWS)
+    least = input_bytes(blocks) // PART_BYTES
+    parts = max(2 * shuffled, least)
+    by = lambda t, key: (t.repartition(least, key) if least > shuffled else t).groupBy(key)
     asked = blocks.select("block", "held", "length", "tokens", "words").mapInArrow(_ask(parts), ASKED)
-    answered = stored(asked.groupBy("part").applyInArrow(_count(settings.discounted), ANSWERED), "answered")
+    answered = stored(by(asked, "part").applyInArrow(_count(settings.discounted), ANSWERED), "answered", LARGE_ROWS)
     words, pairs = (np.zeros(settings.discounted + 3, np.int64) for _ in range(2))
     for r in answered.filter("block = -1").collect():  # a few numbers a part
         words += np.frombuffer(r["words"], "<i8")
@@ -288,14 +293,14 @@ def katz_scores(docs: DataFrame, held_out, settings: Settings = Settings()) -> D
     model = _Model(words, pairs, settings)
 
     texts = docs.filter(~F.coalesce(held_out, F.lit(False))).count()
-    by_block = answered.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "words", "pairs")).alias("answers"))  # a row a part
+    by_block = by(answered.filter("block >= 0"), "block").agg(F.collect_list(F.struct("part", "words", "pairs")).alias("answers"))  # a row a part
     own = blocks.join(by_block, "block")
     sums = own.mapInArrow(_contexts(model, parts, texts), "word long, part int, n long, c double, p double")
     sums = stored(sums.groupBy("word", "part").agg(F.max("n").alias("n"), F.sum("c").alias("c"), F.sum("p").alias("p")), "contexts")
     lists = blocks.select("block", "words").mapInArrow(_ask_words(parts), "part int, block long, words binary")
-    weights = stored(lists.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_look_up, "part int, block long, weights binary"), "weights")
+    weights = stored(by(lists, "part").cogroup(by(sums, "part")).applyInArrow(_look_up, "part int, block long, weights binary"), "weights")
     first = sums.filter(F.col("word") == START).select("n", "c", "p").first()
-    to_score = own.join(weights.groupBy("block").agg(F.collect_list(F.struct("part", "weights")).alias("weights")), "block")
+    to_score = own.join(by(weights, "block").agg(F.collect_list(F.struct("part", "weights")).alias("weights")), "block")
     return to_score.mapInArrow(_score(model, parts, float(backoff_weight(*first)) if first else 1.0, texts), SCORES)
 
 

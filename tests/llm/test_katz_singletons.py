@@ -1,8 +1,11 @@
+import glob
+
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from harborline.llm import katz_model, queries
-from harborline.llm.common import crc_of_id
+from harborline.llm.common import LARGE_ROWS, crc_of_id, stored
 from tests.llm.test_token_operators import brute_katz
 
 
@@ -40,3 +43,29 @@ def test_a_block_without_a_pair_of_its_own(spark):
     want, *_ = brute_katz(rows, [i % 10 == 0 for i, _ in rows], least=1)
     got = {r["doc_id"]: r["score"] for r in katz_model.katz_scores(df, F.col("doc_id") % 10 == 0).collect()}
     assert len(got) == len(rows) and all(np.isclose(got[w[0]], w[-1]) for w in want)
+
+
+def test_parts_grow_with_the_table(spark, rows, monkeypatch):
+    """However few the shuffle partitions are, a task holds a bounded part; the scores stay."""
+    some = [(100 + i, r[1]) for i, r in enumerate(rows)]
+    df, held = spark.createDataFrame(some, "doc_id long, text string"), F.col("doc_id") % 3 == 0
+    kept = {}
+
+    def keep(table, label, *options):
+        kept[label] = stored(table, label, *options)
+        return kept[label]
+
+    monkeypatch.setattr(katz_model, "stored", keep)
+    monkeypatch.setattr(katz_model, "PART_BYTES", 1 << 10)
+    got = {r["doc_id"]: r["score"] for r in katz_model.katz_scores(df, held).collect()}
+    assert kept["answered"].select("part").distinct().count() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want, *_ = brute_katz(some, [i % 3 == 0 for i, _ in some], least=1)
+    assert all(np.isclose(got[w[0]], w[-1]) for w in want)
+
+
+def test_row_groups_of_large_rows_are_small(spark):
+    """Sixty rows of a megabyte don't become one row group, which a reader would hold whole."""
+    large = F.concat(*[F.randstr(F.lit(8192), F.lit(k)) for k in range(128)])
+    table = stored(spark.range(0, 60, 1, 1).withColumn("raw", large.cast("binary")), "large", LARGE_ROWS)
+    meta = [pq.ParquetFile(f).metadata for f in glob.glob(f"{table._stored_at.removeprefix('file://')}/*.parquet")]
+    assert table.count() == 60 and max(m.row_group(i).total_byte_size for m in meta for i in range(m.num_row_groups)) < 32 << 20
